@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from ..shipping import shipped
+from . import exact_dedup, mixing, packing, simhash, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op3_mixing": mixing.query,
+    "op5_simhash": simhash.query,
     "op6_packing": packing.query,
+    "op9_toxicity": toxicity.query,
 }
 
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
+
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
