@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..shipping import shipped
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import exact_dedup, langid, mixing, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_langid": langid.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_mixing": mixing.query,
     "op5_simhash": simhash.query,
