@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..shipping import shipped
-from . import exact_dedup, langid, mixing, packing, simhash, toxicity
+from . import exact_dedup, langid, mixing, packing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.query,
     "op6_packing": packing.query,
     "op9_toxicity": toxicity.query,
+    "op10_secrets": secrets.query,
 }
 
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
@@ -19,4 +20,5 @@ QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op10_secrets": secrets.ORACLE,
 }
