@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..shipping import shipped
-from . import exact_dedup, langid, mixing, packing, secrets, simhash, toxicity
+from . import exact_dedup, langid, mixing, packing, secrets, simhash, suffix_lm, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_mixing": mixing.query,
     "op5_simhash": simhash.query,
     "op6_packing": packing.query,
+    "op7_suffix_lm": suffix_lm.query,
     "op9_toxicity": toxicity.query,
     "op10_secrets": secrets.query,
 }
