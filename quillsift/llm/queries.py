@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from ..shipping import shipped
-from . import exact_dedup, langid, mixing, packing, secrets, simhash, suffix_lm, toxicity
+from . import chat, exact_dedup, langid, mixing, packing, secrets, simhash, suffix_lm, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_mixing": mixing.query,
+    "op4_chat": chat.query,
     "op5_simhash": simhash.query,
     "op6_packing": packing.query,
     "op7_suffix_lm": suffix_lm.query,
@@ -21,5 +22,6 @@ QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op4_chat": chat.ORACLE,
     "op10_secrets": secrets.ORACLE,
 }
