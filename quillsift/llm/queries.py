@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..shipping import shipped
-from . import chat, exact_dedup, langid, mixing, packing, secrets, simhash, suffix_lm, toxicity
+from . import ann, chat, exact_dedup, langid, mixing, packing, secrets, simhash, suffix_lm, toxicity
 
 QUERIES = {
     "op1_langid": langid.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_simhash": simhash.query,
     "op6_packing": packing.query,
     "op7_suffix_lm": suffix_lm.query,
+    "op8_ann": ann.query,
     "op9_toxicity": toxicity.query,
     "op10_secrets": secrets.query,
 }
