@@ -1,12 +1,19 @@
 """Near-duplicates by SimHash and a self-join of binary tries.
 
-Equal fingerprints are one vertex, however many documents have them. Vertices within ``BUDGET`` differing bits agree on
-at least one of BUDGET + 1 blocks of bits (pigeonhole), so each block gives a trie that has this block at the top, where
-no error is spent; the subtrees below the top are the work units. In a subtree, pairs of nodes are traversed together,
-level by level: differing branches add to the errors, and a pair goes once the errors exceed the budget. Pairs of small
-nodes are compared directly. A unit returns a spanning forest of its links, never all pairs, so a group of k copies
-gives fewer than k rows; the components of the forests are those of all links. A unit with more than ``HOT`` vertices
-is split by the pigeonhole over its other bits.
+Documents with equal fingerprints are one vertex. A fingerprint's 64 bits are searched in ``parts``: two vertices within
+``budget`` differing bits differ in at most budget // parts bits of some part. There they agree on at least one of
+budget // parts + 1 blocks (pigeonhole), so each block gives a trie that has this block at the top, where no error is
+spent; the subtrees below the top are the work units. In a subtree, pairs of nodes are traversed together, level by
+level: differing branches add to the errors, and a pair goes once the errors exceed the budget, or if all its vertices
+are known to be connected. Pairs of small nodes are compared directly. A unit returns a spanning forest of its links,
+never all pairs, so a group of k copies gives fewer than k rows; the components of the forests are those of all links. A
+unit with more than ``HOT`` vertices is split by the pigeonhole over its other bits.
+
+``near_groups`` links fingerprints of four-word shingles within four bits. That finds copies with hardly a change: of
+texts whose five-word shingles are 0.8 alike, few are so near. ``drop_near_copies`` is for these: it searches
+fingerprints of the sets of words, in which a changed word weighs little (``WORD_BUDGET`` of 64 bits), and a link also
+needs 256-bit fingerprints of the five-word shingles that differ in at most ``CHECK_BUDGET`` bits, about what a
+similarity of 0.8 gives. Unrelated texts are tens of standard deviations away from that.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero, which links like any other; a
 null doc_id is never the smallest one of its component unless all are null; repeated rows are linked; an empty table
@@ -30,10 +37,13 @@ from .shared import ASCII_LOWER, materialize, table
 BUDGET = 4
 SHINGLE = 4
 SEED = 42
+#: Of ``drop_near_copies``: words of a shingle, bits of the fingerprint of the word set, and of 256 bits of the check.
+CHECK_SHINGLE, WORD_BUDGET, CHECK_BUDGET = 5, 9, 48
+_MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: Vertices of a unit from which on it is split once more.
 HOT = 50_000
 #: Rows of consecutive units that are joined in one go, and pairs that are looked at in one go.
-CHUNK, PAIRS = 100_000, 1 << 20
+CHUNK, PAIRS = 100_000, 1 << 18
 #: Node pairs up to this many vertex pairs are compared directly.
 SMALL = 64
 
@@ -59,6 +69,35 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits that are set in over half of the 64-bit hashes in each column, packed."""
+    counts = np.zeros((hashes.shape[1], 64), dtype=np.int64)
+    for lo in range(0, len(hashes), 8192):
+        part = np.ascontiguousarray(hashes[lo : lo + 8192])
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64).reshape(-1, 64)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def near_copy_prints(text: bytes | None) -> list[int]:
+    """Signed: the fingerprint of the set of words, and four of the five-word shingles."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or b"").translate(ASCII_LOWER).split()
+    if not words:
+        return [0] * 5
+    of_set = _majority(np.array([xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8")[:, None])
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    width = min(CHECK_SHINGLE, len(words))
+    starts = (ends - lengths)[: len(words) - width + 1].tolist()
+    hashes = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")[:, None]
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * _MIXERS
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIXERS[0]
+    mixed ^= mixed >> np.uint64(29)
+    return np.concatenate([of_set, _majority(mixed)]).view(np.int64).tolist()
+
+
 def fingerprint_column(text: Column) -> Column:
     @F.pandas_udf(T.LongType())
     def fingerprints(texts: pd.Series) -> pd.Series:
@@ -67,6 +106,19 @@ def fingerprint_column(text: Column) -> Column:
     return fingerprints(text.cast("binary"))
 
 
+_CHECKS = [f"check{i}" for i in range(len(_MIXERS))]
+
+
+def near_copy_column(text: Column) -> Column:
+    """struct<fp, check0, ...>."""
+
+    @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("fp", *_CHECKS)]))
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(np.array([near_copy_prints(t) for t in texts], dtype=np.int64).reshape(-1, 1 + len(_CHECKS)), columns=["fp", *_CHECKS])
+
+    return prints(text.cast("binary"))
+
+
 def blocks_of(bits: int, parts: int) -> list[tuple[int, int]]:
     """(first bit from the top, width) of ``parts`` blocks."""
     edges = [round(bits * i / parts) for i in range(parts + 1)]
@@ -77,84 +129,124 @@ def _rotated(column: Column, by: int) -> Column:
     return F.shiftleft(column, by).bitwiseOR(F.shiftrightunsigned(column, 64 - by)) if by else column
 
 
-def _join_pairs(keys: np.ndarray, a_lo, a_hi, b_lo, b_hi, budget: int):
-    """The vertex pairs of small node pairs that are within the budget."""
-    wide = b_hi - b_lo
-    each = (a_hi - a_lo) * wide
-    pair = np.repeat(np.arange(len(each)), each)
-    at = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
-    i, j = a_lo[pair] + at // wide[pair], b_lo[pair] + at % wide[pair]
-    near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-    return i[near], j[near]
-
-
-def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins the sets of i and j; labels point at the smallest member."""
-    while len(i):
-        a, b = labels[i], labels[j]
-        apart = a != b
-        if not apart.any():
+class Forest:
+    """Joins the tries of ranges [lo, hi) of sorted 64-bit keys, whose first ``bits`` bits are searched.
+
+    Two vertices are linked if those bits differ in at most ``near`` places, the keys in ``budget``, and the checks, where
+    given, in ``check_budget``. labels: the smallest vertex of each component.
+    """
+
+    def __init__(self, keys: np.ndarray, budget: int = BUDGET, near: int | None = None, bits: int = 64, checks: np.ndarray | None = None, check_budget: int = 0):
+        self.keys, self.budget, self.near, self.last = keys, budget, budget if near is None else near, 63 - bits
+        self.checks, self.check_budget = checks, check_budget
+        self.labels = np.arange(len(keys))
+        self.ones: dict[int, np.ndarray] = {}
+
+    def join(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        # what is nearly equal is connected first, which spares the second round most pairs of a dense group
+        for near in sorted({min(1, self.near), self.near}):
+            self._traverse(lo, hi, near)
+        return self.labels
+
+    def _merge(self, i: np.ndarray, j: np.ndarray) -> None:
+        labels = self.labels
+        while len(i):
+            a, b = labels[i], labels[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = labels[labels]
+                if (up == labels).all():
+                    break
+                labels[:] = up
+
+    def _compare(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = (i < j) & (self.labels[i] != self.labels[j])
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(self.keys[i] ^ self.keys[j]) <= self.budget
+        i, j = i[near], j[near]
+        if self.checks is not None and len(i):
+            near = np.bitwise_count(self.checks[i] ^ self.checks[j]).sum(axis=1) <= self.check_budget
+            i, j = i[near], j[near]
+        self._merge(i, j)
+
+    def _pairs(self, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> None:
+        """Compares the vertices of node pairs, so many at a time."""
+        each = (a_hi - a_lo) * (b_hi - b_lo)
+        for k in np.flatnonzero(each > PAIRS):  # many vertices that agree in all bits: row by row
+            for i in range(a_lo[k], a_hi[k]):
+                others = np.arange(b_lo[k], b_hi[k])
+                others = others[self.labels[b_lo[k] : b_hi[k]] != self.labels[i]]
+                if len(others):
+                    self._compare(np.minimum(i, others), np.maximum(i, others))
+        few = each <= PAIRS
+        a_lo, a_hi, b_lo, b_hi, each = a_lo[few], a_hi[few], b_lo[few], b_hi[few], each[few]
+        if not len(each):
             return
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = labels[labels]
-            if (up == labels).all():
-                break
-            labels[:] = up
+        cuts = [0, *np.flatnonzero(np.diff(np.cumsum(each) // PAIRS)) + 1, len(each)]
+        for s, e in zip(cuts, cuts[1:]):
+            n, wide = each[s:e], (b_hi - b_lo)[s:e]
+            pair = np.repeat(np.arange(e - s), n)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            self._compare(a_lo[s:e][pair] + at // wide[pair], b_lo[s:e][pair] + at % wide[pair])
+
+    def _connected(self, lo: np.ndarray, hi: np.ndarray, other: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Node pairs whose vertices all have one label."""
+        labels = self.labels
+        turns = np.concatenate(([0], np.cumsum(labels[1:] != labels[:-1])))
+        return (turns[lo] == turns[hi - 1]) & (turns[other] == turns[end - 1]) & (labels[lo] == labels[other])
+
+    def _traverse(self, lo: np.ndarray, hi: np.ndarray, near: int) -> None:
+        stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int8))]
+        while stack:
+            bit, *nodes = stack.pop()
+            go_on = ~self._connected(*nodes[:4])
+            nodes = [x[go_on] for x in nodes]
+            a_lo, a_hi, b_lo, b_hi, err = nodes
+            small = ((a_hi - a_lo) * (b_hi - b_lo) <= SMALL) | (bit <= self.last)
+            if small.any():
+                self._pairs(a_lo[small], a_hi[small], b_lo[small], b_hi[small])
+            big = ~small
+            if not big.any():
+                continue
+            a_lo, a_hi, b_lo, b_hi, err = (x[big] for x in nodes)
+            if bit not in self.ones:
+                self.ones[bit] = np.concatenate(([0], np.cumsum((self.keys >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
+            c = self.ones[bit]
+            a_mid, b_mid = a_hi - (c[a_hi] - c[a_lo]), b_hi - (c[b_hi] - c[b_lo])
+            cross = a_lo != b_lo
+            more = err + 1
+            children = [
+                (a_lo[cross], a_mid[cross], b_mid[cross], b_hi[cross], more[cross]),
+                (a_mid[cross], a_hi[cross], b_lo[cross], b_mid[cross], more[cross]),
+                (a_lo[~cross], a_mid[~cross], b_mid[~cross], b_hi[~cross], more[~cross]),
+                (a_lo, a_mid, b_lo, b_mid, err),
+                (a_mid, a_hi, b_mid, b_hi, err),
+            ]
+            nodes = [np.concatenate(x) for x in zip(*children)]
+            alive = (nodes[0] < nodes[1]) & (nodes[2] < nodes[3]) & (nodes[4] <= near) & ~((nodes[0] == nodes[2]) & (nodes[1] - nodes[0] < 2))
+            nodes = [x[alive] for x in nodes]
+            for s in range(0, len(nodes[0]), PAIRS):  # the last ones, with the fewest errors, come next
+                stack.append((bit - 1, *(x[s : s + PAIRS] for x in nodes)))
 
 
 def trie_forest(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int = BUDGET) -> np.ndarray:
-    """Labels of the components that links within the ranges [lo, hi) of sorted distinct 64-bit keys make."""
-    labels = np.arange(len(keys))
-    zero = np.zeros(len(lo), dtype=np.int8)
-    stack = [(63, lo, hi, lo, hi, zero)]
-    ones: dict[int, np.ndarray] = {}
-    while stack:
-        bit, a_lo, a_hi, b_lo, b_hi, err = stack.pop()
-        product = (a_hi - a_lo) * (b_hi - b_lo)
-        small = (product <= SMALL) | (bit < 0)
-        if small.any():
-            starts = [0, *np.flatnonzero(np.diff(np.cumsum(product[small]) // PAIRS)) + 1, int(small.sum())]
-            picked = [x[small] for x in (a_lo, a_hi, b_lo, b_hi)]
-            for s, e in zip(starts, starts[1:]):
-                _merge(labels, *_join_pairs(keys, *(x[s:e] for x in picked), budget))
-        big = ~small
-        if not big.any():
-            continue
-        a_lo, a_hi, b_lo, b_hi, err = a_lo[big], a_hi[big], b_lo[big], b_hi[big], err[big]
-        if bit not in ones:
-            ones[bit] = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
-        c = ones[bit]
-        a_mid, b_mid = a_hi - (c[a_hi] - c[a_lo]), b_hi - (c[b_hi] - c[b_lo])
-        same = a_lo == b_lo
-        cross = ~same
-        more = err + 1
-        children = [
-            (a_lo, a_mid, b_lo, b_mid, err),
-            (a_mid, a_hi, b_mid, b_hi, err),
-            (a_lo, a_mid, b_mid, b_hi, more),
-            (a_mid[cross], a_hi[cross], b_lo[cross], b_mid[cross], more[cross]),
-        ]
-        nodes = [np.concatenate(x) for x in zip(*children)]
-        alive = (nodes[0] < nodes[1]) & (nodes[2] < nodes[3]) & (nodes[4] <= budget) & ~((nodes[0] == nodes[2]) & (nodes[1] - nodes[0] < 2))
-        nodes = [x[alive] for x in nodes]
-        for s in range(0, len(nodes[0]), PAIRS):
-            stack.append((bit - 1, *(x[s : s + PAIRS] for x in nodes)))
-    return labels
-
-
-def _forest(budget: int):
-    """Streams sorted units (block, bucket, sub, subbucket, key) and gives links (u, v) of their forests, as fingerprints."""
-
-    shifts = np.array([lo for lo, _ in blocks_of(64, budget + 1)], dtype=np.uint64)
-
-    def back(keys: np.ndarray, block: np.ndarray) -> np.ndarray:
-        by = shifts[block]
-        return np.where(by == 0, keys, (keys >> by) | (keys << ((np.uint64(64) - by) % np.uint64(64)))).view(np.int64)
+    """Labels of the components that links within the ranges of sorted keys make."""
+    return Forest(keys, budget).join(lo, hi)
+
+
+_UNIT = ["block", "bucket", "sub", "subbucket"]
+
+
+def _forest(budget: int, near: int, bits: int, check_budget: int):
+    """Streams sorted units (the columns of _UNIT, key, node, checks) and gives links (u, v) of their forests, as nodes."""
 
     def join(held: list[np.ndarray]) -> pa.RecordBatch:
-        units, keys = held[:4], held[4].view(np.uint64)
+        units, keys, nodes = held[:4], held[4].view(np.uint64), held[5]
+        checks = np.stack([c.view(np.uint64) for c in held[6:]], axis=1) if len(held) > 6 else None
         new = np.zeros(len(keys), dtype=bool)
         new[0] = True
         for u in units:
@@ -162,10 +254,9 @@ def _forest(budget: int):
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(keys))
         two = hi - lo > 1
-        labels = trie_forest(keys, lo[two], hi[two], budget)
+        labels = Forest(keys, budget, near, bits, checks, check_budget).join(lo[two], hi[two])
         linked = np.flatnonzero(labels != np.arange(len(keys)))
-        block = units[0][linked]
-        return pa.RecordBatch.from_arrays([pa.array(back(keys[linked], block)), pa.array(back(keys[labels[linked]], block))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -186,33 +277,44 @@ def _forest(budget: int):
     return run
 
 
-def near_links(fingerprints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (u, v) that connect just what links of up to ``budget`` bits connect."""
-    blocks = blocks_of(64, budget + 1)
-    units = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(_rotated(F.col("fp"), lo), 64 - width).alias("bucket"), _rotated(F.col("fp"), lo).alias("key")) for i, (lo, width) in enumerate(blocks)])
-    units = fingerprints.select(F.explode(units).alias("x")).select("x.*")
-    crowded = units.groupBy("block", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", "bucket", F.lit(True).alias("hot"))
-    units = units.join(crowded, ["block", "bucket"], "left")
-    # below the block, any pair within the budget agrees on one of budget + 1 parts of the other bits too
-    below = max(w for _, w in blocks)
-    parts = [(below + lo, width) for lo, width in blocks_of(64 - below, budget + 1)]
+def near_links(vertices: DataFrame, budget: int = BUDGET, parts: int = 1, checks: tuple[str, ...] = (), check_budget: int = 0, hot: int = HOT) -> DataFrame:
+    """Distinct vertices (node, fp, checks) -> links (u, v) of nodes that connect just what all links connect."""
+    bits, near = 64 // parts, budget // parts
+    units = []
+    for part in range(parts):
+        for lo, width in blocks_of(bits, near + 1):
+            # the block comes first, the other bits of the part next, then those of the other parts
+            whole = _rotated(F.col("fp"), part * bits)
+            if parts == 1:
+                key = _rotated(whole, lo)
+            else:
+                top = F.shiftrightunsigned(whole, 64 - bits)
+                turned = F.shiftleft(top, lo).bitwiseOR(F.shiftrightunsigned(top, bits - lo)).bitwiseAND(F.lit((1 << bits) - 1)) if lo else top
+                key = F.shiftleft(turned, 64 - bits).bitwiseOR(whole.bitwiseAND(F.lit((1 << (64 - bits)) - 1)))
+            units.append(F.struct(F.lit(len(units)).alias("block"), F.shiftrightunsigned(key, 64 - width).alias("bucket"), key.alias("key")))
+    rows = vertices.select("node", *checks, F.explode(F.array(*units)).alias("x")).select("x.*", "node", *checks)
+    crowded = rows.groupBy("block", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", "bucket", F.lit(True).alias("hot"))
+    rows = rows.join(crowded, ["block", "bucket"], "left")
+    # below the block, any pair that is near in the part agrees on one of near + 1 groups of its other bits too
+    below = max(w for _, w in blocks_of(bits, near + 1))
+    groups = [(below + lo, width) for lo, width in blocks_of(bits - below, near + 1)]
     whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subbucket")))
-    split = F.array(*[F.struct(F.lit(i).alias("sub"), F.shiftrightunsigned(F.shiftleft(F.col("key"), lo), 64 - width).alias("subbucket")) for i, (lo, width) in enumerate(parts)])
-    units = units.withColumn("y", F.explode(F.when(F.col("hot"), split).otherwise(whole))).select("block", "bucket", "y.sub", "y.subbucket", "key")
+    split = F.array(*[F.struct(F.lit(i).alias("sub"), F.shiftrightunsigned(F.shiftleft(F.col("key"), lo), 64 - width).alias("subbucket")) for i, (lo, width) in enumerate(groups)])
+    rows = rows.withColumn("y", F.explode(F.when(F.col("hot"), split).otherwise(whole))).select("block", "bucket", "y.sub", "y.subbucket", "key", "node", *checks)
     # flipping the sign makes the order of longs that of unsigned numbers
-    order = ["block", "bucket", "sub", "subbucket", F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))]
-    dealt = units.repartition("block", "bucket", "sub", "subbucket").sortWithinPartitions(*order)
-    return dealt.mapInArrow(_forest(budget), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
+    order = [*_UNIT, F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))]
+    dealt = rows.repartition(*_UNIT).sortWithinPartitions(*order)
+    return dealt.mapInArrow(_forest(budget, near, bits, check_budget), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
-def near_components(rows: DataFrame, order: Column, budget: int = BUDGET) -> DataFrame:
-    """Rows with ``fp`` -> (fp, first): the smallest ``order`` of all rows in the fingerprint's component."""
-    nodes = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
-    found = components(near_links(nodes.select("fp"), budget))
-    members = materialize(found.select(F.col("u").alias("fp"), "root").unionByName(found.select(F.col("root").alias("fp"), "root").distinct()), "members")
-    least = members.join(nodes, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    linked = members.join(least, "root").select("fp", "least")
-    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+def near_components(rows: DataFrame, order: Column, checks: tuple[str, ...] = (), **options) -> DataFrame:
+    """Rows with ``node``, ``fp`` and checks -> (node, first): the smallest ``order`` of all rows in the node's component."""
+    nodes = materialize(rows.groupBy("node", "fp", *checks).agg(F.min(order).alias("first")), "nodes")
+    found = components(near_links(nodes.select("node", "fp", *checks), checks=checks, **options))
+    members = materialize(found.select(F.col("u").alias("node"), "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
+    least = members.join(nodes, "node").groupBy("root").agg(F.min("first").alias("least"))
+    linked = members.join(least, "root").select("node", "least")
+    return nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("first"))
 
 
 def _by_id(tie: Column) -> Column:
@@ -221,17 +323,19 @@ def _by_id(tie: Column) -> Column:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
-    rows = materialize(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
+    rows = docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")).withColumn("node", F.col("fp"))
+    rows = materialize(rows, "fingerprints")
     found = near_components(rows, _by_id(F.lit(0)))
-    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+    return rows.join(found, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that with the smallest doc_id; rows equal in doc_id and text stay or go together."""
     tie = F.xxhash64("text")
-    rows = materialize(docs.select("doc_id", tie.alias("tie"), fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
-    found = near_components(rows, _by_id(F.col("tie")))
-    gone = rows.join(found, "fp").where(~_by_id(F.col("tie")).eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__qs_id"), F.col("tie").alias("__qs_tie")).distinct()
+    rows = docs.select("doc_id", tie.alias("tie"), near_copy_column(F.col("text")).alias("prints")).select("doc_id", "tie", "prints.*")
+    rows = materialize(rows.withColumn("node", F.xxhash64("fp", *_CHECKS)), "fingerprints")
+    found = near_components(rows, _by_id(F.col("tie")), tuple(_CHECKS), budget=WORD_BUDGET, parts=2, check_budget=CHECK_BUDGET)
+    gone = rows.join(found, "node").where(~_by_id(F.col("tie")).eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__qs_id"), F.col("tie").alias("__qs_tie")).distinct()
     keyed = docs.withColumn("__qs_text", tie)
     return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__qs_id")) & (F.col("__qs_text") == F.col("__qs_tie")), "left_anti").select(*docs.columns)
 

@@ -67,7 +67,7 @@ def test_links_connect_what_brute_force_connects(spark, hot):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     keys = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(12))]))
-    frame = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
+    frame = spark.createDataFrame([(int(k), int(k)) for k in keys.view(np.int64)], "node long, fp long")
     links = simhash.near_links(frame, hot=hot).collect()
     place = {int(k): i for i, k in enumerate(keys.view(np.int64))}
     assert all(bin((r.u ^ r.v) & (1 << 64) - 1).count("1") for r in links)
@@ -109,3 +109,55 @@ def test_nulls_ties_and_extra_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_groups(docs).count() == 0 and simhash.drop_near_copies(docs).count() == 0
+
+
+def shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(4000)]
+    rows, copies = [], {}
+    for base in range(60):
+        text = list(rng.choice(words, 300))
+        rows.append((1000 * base, " ".join(text)))
+        for k in range(1, int(rng.integers(1, 6))):
+            changed = list(text)
+            for at in rng.choice(300, int(rng.integers(1, 5)), replace=False):
+                changed[at] = str(rng.choice(words))
+            rows.append((1000 * base + k, " ".join(changed)))
+            copies[1000 * base + k] = 1000 * base
+    by_id = dict(rows)
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {1000 * b for b in range(60)} <= kept
+    alike = [i for i, b in copies.items() if len(shingles(by_id[i]) & shingles(by_id[b])) >= 0.85 * len(shingles(by_id[i]) | shingles(by_id[b]))]
+    assert len(alike) > 60 and sum(i in kept for i in alike) <= 0.03 * len(alike)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_forest_in_parts_with_checks(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = lambda n: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
+    keys = np.array([b ^ flips(int(rng.integers(1, 8))) for b in base for _ in range(12)], dtype=np.uint64)
+    checks = rng.integers(0, 4, (len(keys), 1), dtype=np.uint64)
+    near = (np.bitwise_count(keys[:, None] ^ keys) <= 9) & (np.bitwise_count(checks ^ checks.T) <= 1)
+    at = list(range(len(keys)))
+
+    def top(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        a, b = sorted((top(int(i)), top(int(j))))
+        at[b] = a
+    merged = simhash.Forest(np.zeros(len(keys), np.uint64))
+    for part in range(2):
+        turned = (keys << np.uint64(32 * part)) | (keys >> np.uint64(32)) if part else keys
+        order = np.argsort(turned, kind="stable")
+        got = simhash.Forest(turned[order], 9, 4, 32, checks[order], 1).join(np.array([0]), np.array([len(keys)]))
+        merged._merge(order, order[got])
+    assert same_partition(merged.labels.tolist(), [top(i) for i in range(len(keys))])
