@@ -314,7 +314,8 @@ def near_components(rows: DataFrame, order: Column, checks: tuple[str, ...] = ()
     members = materialize(found.select(F.col("u").alias("node"), "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
     least = members.join(nodes, "node").groupBy("root").agg(F.min("first").alias("least"))
     linked = members.join(least, "root").select("node", "least")
-    return nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("first"))
+    # written, so that the join with the rows has an exchange on either side, and Spark can split a node that many rows share
+    return materialize(nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("first")), "components")
 
 
 def _by_id(tie: Column) -> Column:
