@@ -95,9 +95,9 @@ class Identifier:
             self.ranks.append(order)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        grams, counts = gram_counts(text) if text and self.names else ((), ())
-        if not len(grams):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0
+        grams, counts = gram_counts(text)
         top = grams[ranked(counts, grams)]
         here = np.arange(len(top))
         out = []

@@ -24,11 +24,10 @@ MOST_EPOCHS = 3
 BUCKETS = 4096
 #: Rates of the keys, by ``labels.quality``: a better document is met earlier.
 QUALITY = {1: 2.0, 0: 0.5}
-_JAVA_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words_in(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_JAVA_WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def exponential_key(identity: Column, weight: Column, seed: str) -> Column:

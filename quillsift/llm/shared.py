@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import materialize
+
+__all__ = ["materialize", "table", "lower_ascii", "crc_mod"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Lower-cases A-Z in bytes; ``bytes.split()`` then splits at 0x20 and 0x09-0x0D only.
@@ -19,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of its own only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quillsift-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it again.
-
-    This cuts the lineage, computes the rows once however often they are read, and outlives lost executors.
-    """
-    path = f"{shared_folder(df.sparkSession)}/quillsift/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z alone. ``lower`` does just that on pure ASCII, and has a fast path there."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -46,8 +27,3 @@ def lower_ascii(text: Column) -> Column:
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``; a null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
-
-
-def split_of(column: str, modulus: int, remainder: int) -> Column:
-    """Whether a row is held out."""
-    return crc_mod(F.col(column), modulus) == remainder

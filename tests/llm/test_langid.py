@@ -48,7 +48,7 @@ def test_out_of_place(spark):
     profiles = {"x": langid.gram_counts("aa aa ab")[0].tolist(), "y": langid.gram_counts("zz yy")[0].tolist()}
     identify = langid.Identifier(profiles)
     assert identify("aa")[0] == "x" and identify("ZZ y")[0] == "y"
-    assert identify(None) == identify("") == identify("12 --") == ("und", 0.0)
+    assert identify(None) == identify("") == identify("12 --") == identify("½² _") == ("und", 0.0)
     assert langid.Identifier({})("abc") == ("und", 0.0)
 
 
