@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,16 +34,34 @@ def append(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.unionByName(other)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the folder that driver and executors share, and reads it again; this cuts the lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables, within the one that driver and executors share (``spark.checkpoint.dir``).
+
+    Only where none is set, a temporary one is set, which goes when the driver ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quillsift-')}"
+        own = tempfile.mkdtemp(prefix="quillsift-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/quillsift/{uuid.uuid4().hex}/{name}"
+    return f"{folder.rstrip('/')}/quillsift/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again.
+
+    This cuts the lineage, computes the rows once however often they are read, and outlives lost executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> bool:
+    """Deletes this application's tables in the shared folder; results that were not written yet can't be read then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ranged(df: DataFrame, key: str, name: str = "ranged") -> DataFrame:

@@ -152,3 +152,13 @@ def test_combinations_and_keys(spark):
     assert change_base(27, "abcdefghijklmnopqrstuvwxyz") == "bb" and change_base(0, "ab") == "a"
     keys = dict(generate_keys(2000))
     assert len(keys) == 2000 and set(keys.values()) == set(range(2000))
+
+
+def test_clean(spark):
+    from quillsift.sources import snapshots
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    table = snapshots.materialize(spark.range(3).toDF("n"), "numbers")
+    assert table.count() == 3
+    assert snapshots.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert before is None or spark.conf.get("spark.checkpoint.dir") == before
