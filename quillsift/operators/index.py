@@ -46,6 +46,10 @@ class KeyIndex:
     def maximum(self) -> DataFrame:
         return self.df.agg(F.max("key").alias("key")).where("key is not null")
 
+    def __iter__(self):
+        """(key, value) in order, a partition at a time."""
+        return (tuple(r) for r in self.items().toLocalIterator())
+
     # lookups
 
     def get(self, key) -> DataFrame:
@@ -204,6 +208,8 @@ class KeyIndex:
         rows = rows.select("key", "value")
         return self._with(self.df.join(rows, "key", "left_anti").unionByName(rows))
 
+    add_range, remove_range, set_value = add, remove, upsert
+
     def update(self, where: Column, value: Column) -> KeyIndex:
         return self._with(self.df.withColumn("value", F.when(where, value).otherwise(F.col("value"))))
 

@@ -67,12 +67,19 @@ class NGramIndex:
                 found.update(dict.fromkeys(run[i : i + n] for i in range(len(run) - n + 1)))
         return list(found)
 
-    def search(self, pattern: str, option: str = CONTAINS) -> DataFrame:
-        """Items (value) that match a wildcard pattern."""
+    def rarest(self, wanted: list[str], most: int) -> list[str]:
+        """The ``most`` n-grams with the fewest postings; one that has none decides alone."""
+        found = {r["gram"]: r["count"] for r in self.postings.where(F.col("gram").isin(wanted)).groupBy("gram").count().collect()}
+        return sorted(wanted, key=lambda g: (found.get(g, 0), g))[:most]
+
+    def search(self, pattern: str, option: str = CONTAINS, most: int | None = None) -> DataFrame:
+        """Items (value) that match a wildcard pattern; ``most``: only so many of the pattern's rarest n-grams are looked up."""
         wildcard = Wildcard(pattern, option)
         wanted = self.query_grams(wildcard)
         if not wanted:
             return self.items.where(wildcard.is_match(F.col("value")))
+        if most is not None and len(wanted) > most:
+            wanted = self.rarest(wanted, most)
         hits = self.postings.where(F.col("gram").isin(wanted)).groupBy("value").agg(F.count_distinct("gram").alias("n"))
         return hits.where(F.col("n") == len(wanted)).select("value").where(wildcard.is_match(F.col("value")))
 

@@ -62,6 +62,15 @@ def _(spark, sf_dir):
     return Tables(spark, sf_dir).customer.select(F.col("c_name").alias("k"), F.col("c_custkey").alias("v"), F.col("c_nationkey").alias("n"))
 
 
+@query("a01b_create", "select c_name k, c_custkey v from customer")
+def _(spark, sf_dir):
+    from uuid import uuid4
+
+    from ..sources.snapshots import shared_folder
+
+    return _kv(_customers(spark, sf_dir).save(f"{shared_folder(spark)}/{uuid4().hex}/customers").df)
+
+
 @query("a02_keys", "select c_name k from customer")
 def _(spark, sf_dir):
     return _customers(spark, sf_dir).keys().select(F.col("key").alias("k"))
@@ -166,6 +175,20 @@ def _(spark, sf_dir):
     return _kv(_customers(spark, sf_dir).add(new).df)
 
 
+@query("a09_add_range", "select n_name k, n_nationkey v from nation union all select r_name, r_regionkey from region")
+def _(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    index = KeyIndex(t.nation, "n_name", "n_nationkey", check=True)
+    return _kv(index.add_range(t.region.select(F.col("r_name").alias("key"), F.col("r_regionkey").alias("value"))).df)
+
+
+@query("a11_remove_keys", "select s_name k, s_suppkey v from supplier where s_nationkey not in (select n_nationkey from nation where n_regionkey = 1)")
+def _(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    gone = t.supplier.join(t.nation.where("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("s_name").alias("key"))
+    return _kv(KeyIndex(t.supplier, "s_name", "s_suppkey").remove_range(gone).df)
+
+
 @query("a10_remove_range", "select c_name k, c_custkey v from customer where c_nationkey <> 3")
 def _(spark, sf_dir):
     gone = Tables(spark, sf_dir).customer.where("c_nationkey = 3").select(F.col("c_name").alias("key"))
@@ -190,6 +213,12 @@ def _(spark, sf_dir):
     return _kv(_customers(spark, sf_dir).upsert(rows).df)
 
 
+@query("a18_set_value", "select c_name k, case when c_custkey = 7 then 0 else c_custkey end v from customer")
+def _(spark, sf_dir):
+    row = spark.createDataFrame([("Customer#000000007", 0)], "key string, value long")
+    return _kv(_customers(spark, sf_dir).set_value(row).df)
+
+
 @query("a38_optimize", "select c_name k, c_custkey v from customer")
 def _(spark, sf_dir):
     from ..sources.snapshots import materialize
@@ -345,6 +374,8 @@ def _(spark, sf_dir):
 
 # ---- n-grams
 
+_TOKENS = "(select distinct w from (select unnest(string_split_regex(lower(text), '[^a-z]+')) w from documents) where w <> '')"
+
 def _ngrams(spark, sf_dir) -> NGramIndex:
     return NGramIndex.build(_names(spark, sf_dir), "v", 2, 3)
 
@@ -389,6 +420,12 @@ def _(spark, sf_dir):
     return _ngrams(spark, sf_dir).search_all(probes).select(F.col("pattern").alias("p"), F.col("value").alias("v"))
 
 
+@query("c10_search_rarest", f"select w from {_TOKENS} where contains(w, 'ation') and contains(w, 'the')")
+def _(spark, sf_dir):
+    index = NGramIndex.build(_tokens(spark, sf_dir), "w", 3, 3)
+    return index.search("the*ation", most=2).unionByName(index.search("ation*the", most=2)).select(F.col("value").alias("w")).distinct()
+
+
 @query("c08_ngram_stats", f"select length(g) n, count(*) c, count(distinct g) u from ({_GRAMS}) group by 1")
 def _(spark, sf_dir):
     return _ngrams(spark, sf_dir).stats().select(F.col("n").cast("long").alias("n"), F.col("postings").alias("c"), F.col("grams").alias("u"))
@@ -399,7 +436,6 @@ def _(spark, sf_dir):
     return _ngrams(spark, sf_dir).lengths().select(F.col("length").cast("long").alias("n"), F.col("items").alias("c"))
 
 
-_TOKENS = "(select distinct w from (select unnest(string_split_regex(lower(text), '[^a-z]+')) w from documents) where w <> '')"
 
 
 @query("c06d_search_tokens", f"select w from {_TOKENS} where w like '%tion_e%'")
@@ -725,6 +761,21 @@ def _(spark, sf_dir):
     return ordered.append_ordered(keys, keys.where("k < 100").select((F.col("k") + top + 1).alias("k")), "k")
 
 
+@query("i02_set_operations", "select distinct c_nationkey k from customer union select s_nationkey from supplier except select 3")
+def _(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    base = KeyIndex(t.customer.select(F.col("c_nationkey").alias("key")).distinct().withColumn("value", F.lit(0)))
+    more = t.supplier.select(F.col("s_nationkey").alias("key")).distinct().withColumn("value", F.lit(0))
+    return base.try_add(more)[0].remove(spark.createDataFrame([(3,)], "key int")).df.select(F.col("key").alias("k"))
+
+
+@query("i04_lookup", "select o_orderkey k, o_totalprice v from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)")
+def _(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    probes = t.lineitem.where("l_quantity >= 49").select(F.col("l_orderkey").alias("k")).distinct()
+    return KeyIndex(t.orders, "o_orderkey", "o_totalprice").try_get(probes, "k").where("found").select("k", F.col("value").alias("v"))
+
+
 @query("i05_minimum_item", "select o_orderkey k, o_totalprice v from orders order by o_orderkey limit 1")
 def _(spark, sf_dir):
     return topk.peek(Tables(spark, sf_dir).orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), "k")
@@ -809,6 +860,19 @@ def _(spark, sf_dir):
 
 # ---- queues
 
+@query("j01_enqueue", "select p_partkey k, p_retailprice p from part union all select s_suppkey, s_acctbal from supplier")
+def _(spark, sf_dir):
+    from ..sources.snapshots import append
+
+    t = Tables(spark, sf_dir)
+    return append(t.part.select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("p")), t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("p")))
+
+
+@query("j07_nodes", "select p_partkey k, p_retailprice p from part")
+def _(spark, sf_dir):
+    return Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("p"))
+
+
 @query("j02_first", "select p_partkey, p_retailprice from part order by p_retailprice, p_partkey limit 1")
 def _(spark, sf_dir):
     return topk.peek(Tables(spark, sf_dir).part.select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey")
@@ -885,6 +949,51 @@ def _(spark, sf_dir):
     return cache.evicted(Tables(spark, sf_dir).events, "user_id", "value", _ORDER, 50).select(F.col("key").alias("k"), F.col("value").alias("v"))
 
 
+def _replayed(spark, sf_dir, operations: dict, capacity=1_000_000, places=20) -> DataFrame:
+    """What the caches of (user_id modulo 4) hold after the events have been carried out as operations, the first places."""
+    events = Tables(spark, sf_dir).events.where(F.col("event_type").isin(*operations))
+    names = F.create_map(*[F.lit(x) for pair in operations.items() for x in pair])
+    log = events.select((F.col("user_id") % 4).alias("cache"), F.struct(*_ORDER).alias("seq"), names[F.col("event_type")].alias("operation"), F.col("user_id").alias("key"), "value")
+    held = cache.replay(log, capacity).where(F.col("place") < places)
+    return held.select(F.col("cache").alias("c"), F.col("key").alias("k"), F.col("value").alias("v"), F.col("place").cast("long").alias("p"))
+
+
+_PLACED = "select user_id % 4 c, user_id k, v, p from (select *, row_number() over (partition by user_id % 4 order by o desc) - 1 p from ({0})) where p < 20"
+_PUTS = f"select user_id, arg_max(value, {_AT}) v, max({_AT}) o, min({_AT}) f from events where event_type = 'purchase' group by 1"
+
+
+@query("l02_try_add", _PLACED.format(f"select user_id, arg_min(value, {_AT}) v, min({_AT}) o from events where event_type = 'view' group by 1"))
+def _(spark, sf_dir):
+    return _replayed(spark, sf_dir, {"view": "try_add"})
+
+
+@query("l03_get_bumps", _PLACED.format(f"select p.user_id, any_value(p.v) v, max({_AT}) o from ({_PUTS}) p join events e on e.user_id = p.user_id and event_type in ('purchase', 'click') and {_AT} >= p.f group by 1"))
+def _(spark, sf_dir):
+    return _replayed(spark, sf_dir, {"purchase": "put", "click": "get"})
+
+
+@query("l04_contains_key", f"with c as (select k, v from ({_LAST}) order by o desc limit 50) select c_custkey k from customer where c_custkey in (select k from c)")
+def _(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    held = cache.touched(t.events, "user_id", "value", _ORDER, 50)
+    return KeyIndex(held).contains_key(t.customer, "c_custkey").select(F.col("c_custkey").alias("k"))
+
+
+@query("l08_bump", _PLACED.format(f"select p.user_id, any_value(p.v) v, max({_AT}) o from ({_PUTS}) p join events e on e.user_id = p.user_id and event_type in ('purchase', 'signup') and {_AT} >= p.f group by 1"))
+def _(spark, sf_dir):
+    return _replayed(spark, sf_dir, {"purchase": "put", "signup": "bump"})
+
+
+@query("l09_remove", _PLACED.format(f"select * from ({_PUTS}) p where not exists (select 1 from events e where e.user_id = p.user_id and event_type = 'error' and {_AT} > p.o)"))
+def _(spark, sf_dir):
+    return _replayed(spark, sf_dir, {"purchase": "put", "error": "remove"})
+
+
+@query("l12_set_only", f"select k from ({_LAST}) order by o desc limit 50")
+def _(spark, sf_dir):
+    return cache.touched(Tables(spark, sf_dir).events, "user_id", "value", _ORDER, 50).select(F.col("key").alias("k"))
+
+
 @query("l06_replay_puts", f"select event_type c, user_id k, v, r - 1 p from (select *, row_number() over (partition by event_type order by o desc) r from (select event_type, user_id, arg_max(value, {_AT}) v, max({_AT}) o from events group by 1, 2)) where r <= 20")
 def _(spark, sf_dir):
     log = Tables(spark, sf_dir).events.select(F.col("event_type").alias("cache"), F.struct(*_ORDER).alias("seq"), F.lit("put").alias("operation"), F.col("user_id").alias("key"), "value")

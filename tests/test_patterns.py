@@ -123,7 +123,7 @@ def test_mutations(spark, tmp_path):
     assert rows(base.upsert(more)) == [("a", 1), ("b", 9), ("c", 3)]
     assert rows(base.remove(more)) == [("a", 1)] and rows(base.clear()) == []
     assert rows(base.update(F.col("key") == "a", F.lit(5))) == [("a", 5), ("b", 2)]
-    assert base["a"] == 1
+    assert base["a"] == 1 and list(base) == [("a", 1), ("b", 2)]
     with pytest.raises(KeyError):
         base["z"]
     saved = base.save(str(tmp_path / "one"))
