@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,29 +62,31 @@ def one_edit_or_swap(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, 1) >= 0) | ((F.length(a) == F.length(b)) & (F.length(a) > 1) & swapped)
 
 
-def _pair_map(table: dict) -> Column:
-    flat = itertools.chain.from_iterable((F.lit(a + b), F.lit(v)) for (a, b), v in sorted(table.items()))
-    return F.create_map(*flat)
-
+def _lookup(table: dict[tuple[str, str], float], a: Column, b: Column) -> Column:
+    """The value of a pair of characters, null if the table lacks it.
 
-def _key(a: Column, b: Column) -> Column:
-    return F.concat(F.least(a, b), F.greatest(a, b))
+    The table is one constant array, indexed by the characters' places in its alphabet, so a lookup takes no search.
+    """
+    letters = "".join(sorted({c for pair in table for c in pair}))
+    cells = ",".join(repr(table[ordered(p, q)]) if ordered(p, q) in table else "null" for p in letters for q in letters)
+    values = F.from_json(F.lit(f"[{cells}]"), "array<double>")  # folded to a literal when the plan is optimised
+    row, column = F.instr(F.lit(letters), a), F.instr(F.lit(letters), b)
+    return F.when((row > 0) & (column > 0) & (F.length(a) == 1) & (F.length(b) == 1), F.get(values, (row - 1) * len(letters) + column - 1))
 
 
 def key_distance(a: Column, b: Column, unknown: float = 1.0) -> Column:
     """Distance of two characters on the keyboard."""
     x, y = F.lower(a), F.lower(b)
-    return F.when(x == y, F.lit(0.0)).otherwise(F.coalesce(F.element_at(_pair_map(keyboard_table()), _key(x, y)), F.lit(unknown)))
+    return F.when(x == y, F.lit(0.0)).otherwise(F.coalesce(_lookup(keyboard_table(), x, y), F.lit(unknown)))
 
 
 def keyboard_distance(a: Column, b: Column, unknown: float = 1.0, missing: float = -1, extra: float = -1) -> Column:
     """Sum of key distances place by place, and the difference in length at the given costs; below 0: the largest distance."""
     x, y = F.lower(a), F.lower(b)
-    table = _pair_map(keyboard_table())
 
     def at(i: Column) -> Column:
         p, q = F.substring(x, i, F.lit(1)), F.substring(y, i, F.lit(1))
-        return F.when(p == q, F.lit(0.0)).otherwise(F.coalesce(F.element_at(table, _key(p, q)), F.lit(unknown)))
+        return F.when(p == q, F.lit(0.0)).otherwise(F.coalesce(_lookup(keyboard_table(), p, q), F.lit(unknown)))
 
     both = F.least(F.length(x), F.length(y))
     total = F.when(both > 0, F.aggregate(F.sequence(F.lit(1), both), F.lit(0.0), lambda s, i: s + at(i))).otherwise(F.lit(0.0))
@@ -106,12 +106,11 @@ def key_similarity(a: Column, b: Column, unknown: float = 1.0) -> Column:
 
 def visual_similarity(a: Column, b: Column) -> Column:
     """Similarity of two letters; null if the pair is not rated."""
-    return F.when(a == b, F.lit(1.0)).otherwise(F.element_at(_pair_map(visual_table()), _key(a, b)))
+    return F.when(a == b, F.lit(1.0)).otherwise(_lookup(visual_table(), a, b))
 
 
 def looks_alike(a: Column, b: Column) -> Column:
-    pairs = F.array(*[F.lit("".join(p)) for p in sorted(alike_pairs())])
-    return (a == b) | F.array_contains(pairs, _key(a, b))
+    return (a == b) | _lookup(dict.fromkeys(alike_pairs(), 1.0), a, b).isNotNull()
 
 
 def table_frame(spark, table: dict[tuple[str, str], float]) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import cache, combine, ordered, suggest, topk
 from ..operators.index import KeyIndex
 from ..operators.ngram import NGramIndex
 from ..shipping import shipped
+from . import sqltext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -488,7 +489,7 @@ def _(spark, sf_dir):
     return _pairs(spark, sf_dir).where(fuzzy_udf.osa(F.col("x"), F.col("y")) <= 1)
 
 
-@query("e05_osa")
+@query("e05_osa", sqltext.edit_distance(_PAIRS))
 def _(spark, sf_dir):
     return _pairs(spark, sf_dir).select("x", "y", fuzzy_udf.osa(F.col("x"), F.col("y")).alias("d"))
 
@@ -508,11 +509,6 @@ def _(spark, sf_dir):
     return _pairs(spark, sf_dir).select("x", "y", fuzzy_udf.weighted_slice(F.col("x"), 0, 4, F.col("y"), 0, 4, insert=2, delete=2, substitute=2.0).alias("d"))
 
 
-def _values(table: dict) -> str:
-    rows = ", ".join("('{}', '{}', {!r}::double)".format(a.replace("'", "''"), b.replace("'", "''"), v) for (a, b), v in sorted(table.items()))
-    return f"(values {rows})"
-
-
 def _letters(spark) -> DataFrame:
     letters = spark.createDataFrame([(c,) for c in "abcdexyzABCDEXYZ0158;:é"], "c string")
     return combine.combinations(letters.select(F.col("c").alias("a")), letters.select(F.col("c").alias("b")))
@@ -521,17 +517,17 @@ def _letters(spark) -> DataFrame:
 _LETTERS = "(select a, b from (select unnest(string_split('abcdexyzABCDEXYZ0158;:é', '')) a) cross join (select unnest(string_split('abcdexyzABCDEXYZ0158;:é', '')) b))"
 
 
-@query("e09_visual", f"select l.a, l.b, case when l.a = l.b then 1.0::double else round(v, 6) end s from {_LETTERS} l left join {_values(characters.visual_table())} t(x, y, v) on x = least(l.a, l.b) and y = greatest(l.a, l.b)")
+@query("e09_visual", f"select l.a, l.b, case when l.a = l.b then 1.0::double else round(v, 6) end s from {_LETTERS} l left join {sqltext.values(characters.visual_table())} t(x, y, v) on x = least(l.a, l.b) and y = greatest(l.a, l.b)")
 def _(spark, sf_dir):
     return _letters(spark).select("a", "b", F.round(fuzzy.visual_similarity(F.col("a"), F.col("b")), 6).alias("s"))
 
 
-@query("e10_alike", f"select l.a, l.b, l.a = l.b or v is not null s from {_LETTERS} l left join {_values({p: 1 for p in characters.alike_pairs()})} t(x, y, v) on x = least(l.a, l.b) and y = greatest(l.a, l.b)")
+@query("e10_alike", f"select l.a, l.b, l.a = l.b or v is not null s from {_LETTERS} l left join {sqltext.values({p: 1 for p in characters.alike_pairs()})} t(x, y, v) on x = least(l.a, l.b) and y = greatest(l.a, l.b)")
 def _(spark, sf_dir):
     return _letters(spark).select("a", "b", fuzzy.looks_alike(F.col("a"), F.col("b")).alias("s"))
 
 
-_KEYS = f"{_values(characters.keyboard_table())} t(x, y, v)"
+_KEYS = f"{sqltext.values(characters.keyboard_table())} t(x, y, v)"
 
 
 @query("e11_key_distance", f"select l.a, l.b, round(case when lower(l.a) = lower(l.b) then 0.0::double else coalesce(v, 1.0::double) end, 6) s from {_LETTERS} l left join {_KEYS} on x = least(lower(l.a), lower(l.b)) and y = greatest(lower(l.a), lower(l.b))")
@@ -558,14 +554,18 @@ def _(spark, sf_dir):
     return _letters(spark).select("a", "b", F.round(fuzzy.key_similarity(F.col("a"), F.col("b")), 6).alias("s"))
 
 
-@query("e15_combined_distance")
+_COMBINED = sqltext.edit_distance(_PAIRS, sqltext.combined_cost())
+_DICE = f"with b as ({_BIGRAMS}), c as (select a.w x, b.w y, sum(least(a.c, b.c)) n from b a join b on a.g = b.g and a.w < b.w group by all)"
+
+
+@query("e15_combined_distance", f"select x, y, round(d, 6) d from ({_COMBINED})")
 def _(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("x", "y", fuzzy_udf.combined_distance(F.col("x"), F.col("y")).alias("d"))
+    return _pairs(spark, sf_dir).select("x", "y", F.round(fuzzy_udf.combined_distance(F.col("x"), F.col("y")), 6).alias("d"))
 
 
-@query("e16_combined_similarity")
+@query("e16_combined_similarity", f"{_DICE} select e.x, e.y, round(2.0::double * coalesce(n, 0) / (length(e.x) + length(e.y) - 2) * (2 - 2 / (1 + exp(-d))), 6) s from ({_COMBINED}) e left join c using (x, y)")
 def _(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("x", "y", fuzzy_udf.combined_similarity(F.col("x"), F.col("y")).alias("s"))
+    return _pairs(spark, sf_dir).select("x", "y", F.round(fuzzy_udf.combined_similarity(F.col("x"), F.col("y")), 6).alias("s"))
 
 
 @query("e17_remove_diacritics", "select doc_id, md5(strip_accents(text)) t from documents where lang in ('fr', 'es')")
@@ -683,7 +683,11 @@ def _(spark, sf_dir):
     return found.select(F.col("query").alias("q"), F.col("value").alias("v"), F.round("similarity", 6).alias("s"), F.row_number().over(order).cast("long").alias("r"))
 
 
-@query("f06_suggest_d2")
+# words within two edits agree but for two characters in length and differ by four replacements at most
+_WITHIN_2 = sqltext.edit_distance(f"(select q.w x, t.w y from {_WORDS} q join {_WORDS} t on length(q.w) = 5 and q.w < 'ad' and abs(length(q.w) - length(t.w)) <= 2 and levenshtein(q.w, t.w) <= 4)")
+
+
+@query("f06_suggest_d2", f"select x query, y value, d::int distance from ({_WITHIN_2}) where d <= 2")
 def _(spark, sf_dir):
     words = _words(spark, sf_dir)
     found = suggest.Suggestor.build(words, "w", 2).lookup(words.where("length(w) = 5 and w < 'ad'"), "w", 2)
@@ -695,10 +699,14 @@ def _(spark, sf_dir):
     return suggest.PlateIndex.build(Tables(spark, sf_dir).supplier, "s_name", 1).items().select(F.col("value").alias("k"))
 
 
-@query("g02_plate_lookup")
+_PLATES = "(select a.k x, b.k y from (select distinct upper(trim(s_name)) k from supplier) a join (select distinct upper(trim(s_name)) k from supplier) b on levenshtein(a.k, b.k) <= 2)"
+
+
+@query("g02_plate_lookup", f"select e.x q, e.y v, e.d::int n, round(c.d, 6) c, round(2 - 2 / (1 + exp(-c.d)), 6) s from ({sqltext.edit_distance(_PLATES)}) e join ({sqltext.edit_distance(_PLATES, sqltext.combined_cost())}) c using (x, y) where e.d <= 1")
 def _(spark, sf_dir):
     suppliers = Tables(spark, sf_dir).supplier
-    return suggest.PlateIndex.build(suppliers, "s_name", 1).lookup(suppliers, "s_name", 1, suggest.ALL)
+    found = suggest.PlateIndex.build(suppliers, "s_name", 1).lookup(suppliers, "s_name", 1, suggest.ALL)
+    return found.select(F.col("query").alias("q"), F.col("value").alias("v"), F.col("distance").alias("n"), F.round("combined", 6).alias("c"), F.round("similarity", 6).alias("s"))
 
 
 @query("g03_normalize_plate", "select distinct c_mktsegment k, upper(trim(strip_accents(c_mktsegment))) p from customer")
