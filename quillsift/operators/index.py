@@ -177,13 +177,14 @@ class KeyIndex:
         return self.df.where(patterns.classes_match(F.col("key"), [frozenset(range(a, b + 1)) for a, b in places], prefix=True))
 
     def ranges(self, probes: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-        """Probes joined with the keys in their ranges, by equality of a first character where both bounds share it."""
-        same = F.substring(F.col(start), 1, 1) == F.substring(F.col(end), 1, 1)
-        inside = F.col("key").between(F.col(start), F.col(end))
-        heads = self.df.withColumn("__head", F.substring("key", 1, 1))
-        narrow = probes.where(same).withColumn("__first", F.substring(F.col(start), 1, 1)).join(heads, (F.col("__first") == F.col("__head")) & inside).drop("__first")
-        spans = probes.where(~same | same.isNull()).withColumn("__head", F.explode(F.transform(F.sequence(F.ascii(start), F.ascii(end)), lambda c: F.when(c < 128, F.char(c)))))
-        return narrow.drop("__head").unionByName(spans.where("__head is not null").join(heads, "__head").where(inside).drop("__head"))
+        """Probes joined with the string keys in their ranges, by equality of the first byte, for each one in the range."""
+
+        def byte(text: Column) -> Column:
+            return F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 1)), 16, 10).cast("int")
+
+        spans = probes.where(F.col(start) <= F.col(end)).withColumn("__byte", F.explode(F.sequence(F.coalesce(byte(F.col(start)), F.lit(0)), F.coalesce(byte(F.col(end)), F.lit(0)))))
+        heads = self.df.withColumn("__head", F.coalesce(byte(F.col("key")), F.lit(0)))
+        return spans.join(heads, (F.col("__byte") == F.col("__head")) & F.col("key").between(F.col(start), F.col(end))).drop("__byte", "__head")
 
     # mutations
 
