@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by a robust-pruned directed graph.
 
-Distinct vectors are dealt at random to shards of about ``SHARD`` vectors, and each shard has a graph of its own. From a
+Distinct vectors are dealt at random to shards of ``SHARD`` vectors or more, and each shard has a graph of its own. From a
 random graph, two passes let every vector search itself greedily: what the search meets is a candidate neighbour, and
 robust pruning keeps the nearest candidate and drops those that are ``alpha`` times nearer to it than to the vector, so
 that the kept edges point in diverse directions. Edges are added backwards and pruned alike. A query searches every
 shard with a beam of ``BEAM`` vertices; the shards' finds are ranked by exact distance in double precision.
 
-A shard's vectors are read first, then its queries stream by in batches, so memory is bounded by SHARD whatever the
+A shard's vectors are read first, then its queries stream by in batches, so memory is bounded by LARGEST whatever the
 number of queries. Equal vectors are one vertex with its smallest ids (as many as a result can name), so a vector that
 many rows share costs what a single one does.
 
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from .shared import materialize, table
 
 NEAREST = 10
-SHARD = 4096
+#: Vectors of a shard: so many, or more so that there are ``SHARDS`` of them, up to what fits a worker's memory with ease.
+SHARD, SHARDS, LARGEST = 4096, 256, 65536
 #: Edges of a vertex, and vertices that a search keeps.
 DEGREE, BEAM = 32, 64
 ALPHAS = (1.0, 1.2)
 ENTRIES = 24
-BLOCK = 512
+#: Queries that are searched in one go, and at most so many cells of queries times vectors.
+BLOCK, CELLS = 512, 1 << 21
 
 
 def _sorted_by(ids: np.ndarray, distances: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +50,7 @@ class Graph:
         self.norms = np.einsum("nd,nd->n", vectors, vectors)
         self.degree, self.beam = degree, beam
         n = len(vectors)
+        self.block = max(16, min(BLOCK, CELLS // n))
         rng = np.random.default_rng(seed)
         middle = int(np.argmin(((vectors - vectors.mean(axis=0)) ** 2).sum(axis=1)))
         self.entries = np.unique(np.append(rng.choice(n, min(n, ENTRIES), replace=False), middle))
@@ -123,8 +126,8 @@ class Graph:
     def _improve(self, alpha: float) -> None:
         n = len(self.x)
         fresh = np.empty((n, self.degree), dtype=np.int64)
-        for lo in range(0, n, BLOCK):
-            of = np.arange(lo, min(n, lo + BLOCK))
+        for lo in range(0, n, self.block):
+            of = np.arange(lo, min(n, lo + self.block))
             found, _ = self.search(self.x[of])
             fresh[of] = self._prune(of, np.concatenate([found, self.edges[of]], axis=1), alpha)
         # backwards: each vertex also gets the nearest of those that point at it
@@ -136,8 +139,8 @@ class Graph:
         back = np.full((n, 2 * self.degree), -1, dtype=np.int64)
         few = rank < back.shape[1]
         back[target[few], rank[few]] = source[few]
-        for lo in range(0, n, BLOCK):
-            of = np.arange(lo, min(n, lo + BLOCK))
+        for lo in range(0, n, self.block):
+            of = np.arange(lo, min(n, lo + self.block))
             fresh[of] = self._prune(of, np.concatenate([fresh[of], back[of]], axis=1), alpha)
         self.edges = fresh
 
@@ -170,8 +173,8 @@ def _serve(nearest: int, degree: int, beam: int):
                     vectors = np.concatenate([_vectors(p.column(2)) for p in parts])
                     ids = [x for p in parts for x in p.column(3).to_pylist()]
                     graph = Graph(vectors.astype(np.float32), degree, beam)
-                for s in range(0, rows.num_rows, BLOCK):
-                    part = rows.slice(s, BLOCK)
+                for s in range(0, rows.num_rows, graph.block):
+                    part = rows.slice(s, graph.block)
                     queries = _vectors(part.column(2))
                     found, _ = graph.search(queries.astype(np.float32))
                     out: list[list] = [[], [], []]
@@ -200,7 +203,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shard
     # a query's own id may be among them, hence one more
     few = vectors.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= nearest + 1)
     distinct = materialize(few.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
-    lengths = [(r["d"], max(1, -(-r["n"] // shard))) for r in distinct.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()]
+    lengths = [(r["d"], -(-r["n"] // min(LARGEST, max(shard, r["n"] // SHARDS)))) for r in distinct.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()]
     # shards are numbered through the lengths, of which there is one as a rule
     first, total = [], 0
     for d, n in lengths:
