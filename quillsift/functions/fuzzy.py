@@ -17,6 +17,11 @@ _FROM = "".join(m + m.upper() if len(m.upper()) == len(m) else m for m in _MARKE
 _TO = "".join(c * len(m) + c.upper() * len(m) if len(m.upper()) == len(m) else c * len(m) for c, m in _MARKED.items())
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def bigrams(text: Column, allowed: str | None = None) -> Column:
     """Pairs of adjacent characters; with ``allowed``, those of two allowed characters."""
     pairs = F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
@@ -27,10 +32,14 @@ def bigrams(text: Column, allowed: str | None = None) -> Column:
 
 def dice(a: Column, b: Column, allowed: str | None = None) -> Column:
     """Twice the common bigrams over all bigrams, as multisets; 0 where there are none."""
-    x, y = bigrams(a, allowed), bigrams(b, allowed)
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, g: n + F.least(F.size(F.filter(x, lambda h: h == g)), F.size(F.filter(y, lambda h: h == g))))
-    both = F.size(x) + F.size(y)
-    return F.when(a.isNull() | b.isNull() | (both == 0), F.lit(0.0)).otherwise(2.0 * common / both)
+
+    def score(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, g: n + F.least(F.size(F.filter(x, lambda h: h == g)), F.size(F.filter(y, lambda h: h == g))))
+        total = F.size(x) + F.size(y)
+        return F.when(total == 0, F.lit(0.0)).otherwise(2.0 * common / total)
+
+    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(let(F.struct(bigrams(a, allowed).alias("x"), bigrams(b, allowed).alias("y")), score))
 
 
 def dice_pairs(words: DataFrame, column: str, least: float = 0.0) -> DataFrame:
@@ -140,23 +149,27 @@ def stable_hash(text: Column) -> Column:
 
 def softmax(values: Column) -> Column:
     """Softmax of an array, shifted by its largest value; an empty array stays empty."""
-    largest = F.array_max(values)
-    powers = F.transform(values, lambda v: F.exp(v - largest))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(powers, lambda v: v / total)
+    powers = let(F.array_max(values), lambda largest: F.transform(values, lambda v: F.exp(v - largest)))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    return let(powers, lambda p: let(total(p), lambda t: F.transform(p, lambda v: v / t)))
+
+
+def _scaled(v: Column, ends: Column) -> Column:
+    return F.when(ends["high"] > ends["low"], (v - ends["low"]) / (ends["high"] - ends["low"])).otherwise(F.lit(0.0))
+
+
+def _ends(values: Column) -> Column:
+    return F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))
 
 
 def min_max(values: Column) -> Column:
     """An array scaled to 0..1; equal values give 0."""
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda v: F.when(high > low, (v - low) / (high - low)).otherwise(F.lit(0.0)))
+    return let(_ends(values), lambda ends: F.transform(values, lambda v: _scaled(v, ends)))
 
 
 def min_max_matrix(rows: Column) -> Column:
     """An array of arrays scaled by its overall extremes."""
-    flat = F.flatten(rows)
-    low, high = F.array_min(flat), F.array_max(flat)
-    return F.transform(rows, lambda row: F.transform(row, lambda v: F.when(high > low, (v - low) / (high - low)).otherwise(F.lit(0.0))))
+    return let(_ends(F.flatten(rows)), lambda ends: F.transform(rows, lambda row: F.transform(row, lambda v: _scaled(v, ends))))
 
 
 def sigmoid(x: Column) -> Column:

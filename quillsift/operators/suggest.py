@@ -19,9 +19,13 @@ ALL, TOP, CLOSEST = "all", "top", "closest"
 def deletions(word: Column, distance: int) -> Column:
     """The distinct variants of a word, itself included."""
     found = F.array(word)
+
+    def shorter(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))
+        return F.when(F.length(v) > 1, cut).otherwise(F.array().cast("array<string>"))
+
     for _ in range(distance):
-        shorter = F.flatten(F.transform(found, lambda v: F.when(F.length(v) > 1, F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))).otherwise(F.array().cast("array<string>"))))
-        found = F.array_distinct(F.concat(found, shorter))
+        found = fuzzy.let(found, lambda all_: F.array_distinct(F.concat(all_, F.flatten(F.transform(all_, shorter)))))
     return found
 
 
