@@ -499,12 +499,12 @@ def _(spark, sf_dir):
     return _pairs(spark, sf_dir).select("x", "y", fuzzy.levenshtein(F.col("x"), F.col("y"), 4).cast("long").alias("n"))
 
 
-@query("e07_weighted", f"select x, y, 0.5 * levenshtein(x, y) d from {_PAIRS}")
+@query("e07_weighted", f"select x, y, 0.5::double * levenshtein(x, y) d from {_PAIRS}")
 def _(spark, sf_dir):
     return _pairs(spark, sf_dir).select("x", "y", fuzzy_udf.weighted(F.col("x"), F.col("y"), 0.5, 0.5, 0.5).alias("d"))
 
 
-@query("e08_weighted_slices", f"select x, y, 2.0 * levenshtein(left(x, 4), left(y, 4)) d from {_PAIRS}")
+@query("e08_weighted_slices", f"select x, y, 2.0::double * levenshtein(left(x, 4), left(y, 4)) d from {_PAIRS}")
 def _(spark, sf_dir):
     return _pairs(spark, sf_dir).select("x", "y", fuzzy_udf.weighted_slice(F.col("x"), 0, 4, F.col("y"), 0, 4, insert=2, delete=2, substitute=2.0).alias("d"))
 
