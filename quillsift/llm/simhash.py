@@ -10,12 +10,13 @@ never all pairs, so a group of k copies gives fewer than k rows; the components
 unit with more than ``HOT`` vertices is split by the pigeonhole over its other bits.
 
 ``near_groups`` links fingerprints of four-word shingles within four bits. That finds copies with hardly a change: of
-texts whose five-word shingles are 0.8 alike, few are so near. ``drop_near_copies`` is for these: it searches
-fingerprints of the sets of words, in which a changed word weighs little (``WORD_BUDGET`` of 64 bits), and a link also
-needs 256-bit fingerprints of the five-word shingles that differ in at most ``CHECK_BUDGET`` bits, about what a
-similarity of 0.8 gives. Unrelated texts are tens of standard deviations away from that.
+texts whose five-word shingles are 0.8 alike, few are so near. ``drop_near_copies`` is for these: it links all pairs whose
+sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts with one set are one vertex. Two such sets have
+one of their rarest shingles in common (prefix filter), which proposes the pairs; each is compared set by set. Besides, it
+links fingerprints of the sets of words within ``WORD_BUDGET`` of 64 bits whose 256-bit fingerprints of the five-word
+shingles differ in at most ``CHECK_BUDGET`` bits.
 
-Defined results: a null text counts as empty; texts without words have fingerprint zero, which links like any other; a
+Defined results: a null text counts as empty; texts without words have fingerprint zero and the empty set, which link like any other; a
 null doc_id is never the smallest one of its component unless all are null; repeated rows are linked; an empty table
 gives no rows.
 """
@@ -78,26 +79,39 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def near_copy_prints(text: bytes | None) -> list[int]:
-    """Signed: the fingerprint of the set of words, and four of the five-word shingles."""
+def _words_and_shingles(text: bytes | None) -> tuple[list[bytes], np.ndarray]:
+    """The words, and XXH64 of their five-word shingles; of all words where there are fewer."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").translate(ASCII_LOWER).split()
     if not words:
-        return [0] * 5
-    of_set = _majority(np.array([xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8")[:, None])
+        return words, np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     width = min(CHECK_SHINGLE, len(words))
     starts = (ends - lengths)[: len(words) - width + 1].tolist()
-    hashes = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")[:, None]
+    return words, np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
+
+
+def _prints(words: list[bytes], shingles: np.ndarray) -> list[int]:
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return [0] * 5
+    of_set = _majority(np.array([xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8")[:, None])
+    hashes = shingles[:, None]
     mixed = (hashes ^ (hashes >> np.uint64(29))) * _MIXERS
     mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIXERS[0]
     mixed ^= mixed >> np.uint64(29)
     return np.concatenate([of_set, _majority(mixed)]).view(np.int64).tolist()
 
 
+def near_copy_prints(text: bytes | None) -> list[int]:
+    """Signed: the fingerprint of the set of words, and four of the five-word shingles."""
+    return _prints(*_words_and_shingles(text))
+
+
 def fingerprint_column(text: Column) -> Column:
     @F.pandas_udf(T.LongType())
     def fingerprints(texts: pd.Series) -> pd.Series:
@@ -110,11 +124,15 @@ _CHECKS = [f"check{i}" for i in range(len(_MIXERS))]
 
 
 def near_copy_column(text: Column) -> Column:
-    """struct<fp, check0, ...>."""
+    """struct<fp, check0, ..., shingles>; shingles: the sorted set of the five-word shingles' hashes."""
+    kind = T.StructType([*[T.StructField(c, T.LongType()) for c in ("fp", *_CHECKS)], T.StructField("shingles", T.ArrayType(T.LongType()))])
 
-    @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("fp", *_CHECKS)]))
+    @F.pandas_udf(kind)
     def prints(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(np.array([near_copy_prints(t) for t in texts], dtype=np.int64).reshape(-1, 1 + len(_CHECKS)), columns=["fp", *_CHECKS])
+        found = [_words_and_shingles(t) for t in texts]
+        out = pd.DataFrame(np.array([_prints(*x) for x in found], dtype=np.int64).reshape(-1, 1 + len(_CHECKS)), columns=["fp", *_CHECKS])
+        out["shingles"] = pd.Series([np.unique(x.view(np.int64)) for _, x in found], dtype=object)
+        return out
 
     return prints(text.cast("binary"))
 
@@ -307,17 +325,62 @@ def near_links(vertices: DataFrame, budget: int = BUDGET, parts: int = 1, checks
     return dealt.mapInArrow(_forest(budget, near, bits, check_budget), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
-def near_components(rows: DataFrame, order: Column, checks: tuple[str, ...] = (), **options) -> DataFrame:
-    """Rows with ``node``, ``fp`` and checks -> (node, first): the smallest ``order`` of all rows in the node's component."""
-    nodes = materialize(rows.groupBy("node", "fp", *checks).agg(F.min(order).alias("first")), "nodes")
-    found = components(near_links(nodes.select("node", "fp", *checks), checks=checks, **options))
-    members = materialize(found.select(F.col("u").alias("node"), "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
+def near_components(rows: DataFrame, order: Column, **options) -> DataFrame:
+    """Rows with ``node`` and ``fp`` -> (node, first): the smallest ``order`` of all rows in the node's component."""
+    nodes = materialize(rows.groupBy("node", "fp").agg(F.min(order).alias("first")), "nodes")
+    return _firsts(nodes, near_links(nodes.select("node", "fp"), **options))
+
+
+def _members(links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes with links."""
+    found = components(links)
+    return materialize(found.select(F.col("u").alias("node"), "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
+
+
+def _firsts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    members = _members(links)
     least = members.join(nodes, "node").groupBy("root").agg(F.min("first").alias("least"))
     linked = members.join(least, "root").select("node", "least")
     # written, so that the join with the rows has an exchange on either side, and Spark can split a node that many rows share
     return materialize(nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("first")), "components")
 
 
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (u, v) of nodes those whose sets are 0.8 alike or more."""
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def set_links(sets: DataFrame) -> DataFrame:
+    """Nodes with distinct sets (node, shingles) -> links (u, v) that connect just what all pairs 0.8 alike or more connect.
+
+    Each node is posted under the first members of its set, the rarest first, so many that two sets 0.8 alike have one of them in common.
+    """
+    sized = sets.withColumn("size", F.size("shingles"))
+    every = sized.select("node", "size", F.explode("shingles").alias("s"))
+    # written, so that the join has an exchange on either side, and Spark can split a shingle that many nodes share
+    often = materialize(every.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared_shingles")
+    ranked = every.join(often, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("common"))
+    # the prefix has size - ceil(0.8 size) + 1 members; those that no other node has come first and need no posting
+    posted = F.expr("size - (4 * size + 4) div 5 + 1 - (size - size(common))").cast("int")
+    postings = ranked.withColumn("posted", posted).where("posted > 0").select("node", "size", F.explode(F.slice("common", F.lit(1), F.col("posted"))).alias("x"))
+    postings = materialize(postings.select(F.col("x.s").alias("s"), "node", "size"), "postings")
+    # each posting's first node is compared with the others, which connects most of what is alike with few pairs
+    first = materialize(postings.groupBy("s").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    links = materialize(_alike(postings.join(first, "s").where("node <> u").select("u", F.col("node").alias("v")), sets), "first_links")
+    # then all pairs that are not connected yet
+    labelled = materialize(postings.join(_members(links), "node", "left").select("s", "node", "size", F.coalesce("root", "node").alias("root")), "labelled")
+    mixed = materialize(labelled.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s"), "mixed")
+    open_ones = materialize(labelled.join(mixed, "s"), "open_postings")
+    a, b = (open_ones.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "root")]) for side in "ab")
+    near_in_size = (5 * F.col("size_a") >= 4 * F.col("size_b")) & (5 * F.col("size_b") >= 4 * F.col("size_a"))
+    # a node has one root, so each pair of nodes comes in one order
+    pairs = a.join(b, "s").where((F.col("root_a") < F.col("root_b")) & near_in_size).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+    return links.unionByName(_alike(pairs, sets))
+
+
 def _by_id(tie: Column) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), tie.alias("tie"))
 
@@ -334,9 +397,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that with the smallest doc_id; rows equal in doc_id and text stay or go together."""
     tie = F.xxhash64("text")
     rows = docs.select("doc_id", tie.alias("tie"), near_copy_column(F.col("text")).alias("prints")).select("doc_id", "tie", "prints.*")
-    rows = materialize(rows.withColumn("node", F.xxhash64("fp", *_CHECKS)), "fingerprints")
-    found = near_components(rows, _by_id(F.col("tie")), tuple(_CHECKS), budget=WORD_BUDGET, parts=2, check_budget=CHECK_BUDGET)
-    gone = rows.join(found, "node").where(~_by_id(F.col("tie")).eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__qs_id"), F.col("tie").alias("__qs_tie")).distinct()
+    rows = materialize(rows.withColumns({"node": F.xxhash64("shingles"), "print": F.xxhash64("fp", *_CHECKS)}), "fingerprints")
+    nodes = materialize(rows.groupBy("node").agg(F.min(_by_id(F.col("tie"))).alias("first")), "nodes")
+    sets = materialize(rows.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    prints = materialize(rows.select(F.col("print").alias("node"), "fp", *_CHECKS).distinct(), "prints")
+    by_print = near_links(prints, checks=tuple(_CHECKS), budget=WORD_BUDGET, parts=2, check_budget=CHECK_BUDGET)
+    has_print = rows.select(F.col("node").alias("u"), F.col("print").alias("v")).distinct()
+    found = _firsts(nodes, set_links(sets).unionByName(by_print).unionByName(has_print))
+    gone = rows.select("doc_id", "tie", "node").join(found, "node").where(~_by_id(F.col("tie")).eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__qs_id"), F.col("tie").alias("__qs_tie")).distinct()
     keyed = docs.withColumn("__qs_text", tie)
     return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__qs_id")) & (F.col("__qs_text") == F.col("__qs_tie")), "left_anti").select(*docs.columns)
 

@@ -161,3 +161,40 @@ def test_forest_in_parts_with_checks(seed):
         got = simhash.Forest(turned[order], 9, 4, 32, checks[order], 1).join(np.array([0]), np.array([len(keys)]))
         merged._merge(order, order[got])
     assert same_partition(merged.labels.tolist(), [top(i) for i in range(len(keys))])
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def test_all_pairs_that_are_alike_are_linked(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (5, 12, 14, 20, 24, 40, 60, 240):
+        for _ in range(6):
+            text = list(rng.choice(words, size))
+            more = max(1, round((size - 4) / 4))
+            texts += [text, text + list(rng.choice(words, more)), text + list(rng.choice(words, more + 1)), text * 2, text[: size // 2] * 3 + text[size // 2 :]]
+            texts.append([*text[: size // 2], "changed", *text[size // 2 + 1 :]])
+    texts = list(dict.fromkeys(" ".join(t) for t in texts))
+    top, pairs = list(range(len(texts))), []
+    for j, b in enumerate(texts):
+        for i in [i for i in range(j) if alike(texts[i], b)]:
+            pairs.append((i, j))
+            top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert len(pairs) > 50 and kept <= set(top)
+    rows = docs.select("doc_id", simhash.near_copy_column(F.col("text"))["shingles"].alias("shingles")).withColumn("node", F.xxhash64("shingles")).collect()
+    sets = spark.createDataFrame(list({r.node: (r.node, r.shingles) for r in rows}.values()), "node long, shingles array<long>")
+    links = {frozenset((r.u, r.v)) for r in simhash.set_links(sets).collect()}
+    exact = {frozenset((rows[i].node, rows[j].node)) for i, j in pairs if rows[i].node != rows[j].node}
+    assert links <= exact
+    at = {r.node: r.node for r in rows}
+    for u, v in links:
+        at = {k: min(at[u], at[v]) if x in (at[u], at[v]) else x for k, x in at.items()}
+    assert same_partition([at[r.node] for r in rows], top)
