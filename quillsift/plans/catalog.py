@@ -957,12 +957,14 @@ def _(spark, sf_dir):
     return cache.evicted(Tables(spark, sf_dir).events, "user_id", "value", _ORDER, 50).select(F.col("key").alias("k"), F.col("value").alias("v"))
 
 
-def _replayed(spark, sf_dir, operations: dict, capacity=1_000_000, places=20) -> DataFrame:
-    """What the caches of (user_id modulo 4) hold after the events have been carried out as operations, the first places."""
+def _replayed(spark, sf_dir, operations: dict, capacity=1_000_000, places: int | None = 20) -> DataFrame:
+    """What the caches of (user_id modulo 4) hold after the events have been carried out as operations, the first places or all."""
     events = Tables(spark, sf_dir).events.where(F.col("event_type").isin(*operations))
     names = F.create_map(*[F.lit(x) for pair in operations.items() for x in pair])
     log = events.select((F.col("user_id") % 4).alias("cache"), F.struct(*_ORDER).alias("seq"), names[F.col("event_type")].alias("operation"), F.col("user_id").alias("key"), "value")
-    held = cache.replay(log, capacity).where(F.col("place") < places)
+    held = cache.replay(log, capacity)
+    if places is not None:
+        held = held.where(F.col("place") < places)
     return held.select(F.col("cache").alias("c"), F.col("key").alias("k"), F.col("value").alias("v"), F.col("place").cast("long").alias("p"))
 
 
@@ -997,6 +999,16 @@ def _(spark, sf_dir):
     return _replayed(spark, sf_dir, {"purchase": "put", "error": "remove"})
 
 
+# every held key with its place, where the queries above give the first 20 of each cache
+for _name, _operations in {
+    "l02_try_add": {"view": "try_add"},
+    "l03_get_bumps": {"purchase": "put", "click": "get"},
+    "l08_bump": {"purchase": "put", "signup": "bump"},
+    "l09_remove": {"purchase": "put", "error": "remove"},
+}.items():
+    query(f"{_name}_all", ORACLES[_name].removesuffix(" where p < 20"))(lambda spark, sf_dir, operations=_operations: _replayed(spark, sf_dir, operations, places=None))
+
+
 @query("l12_set_only", f"select k from ({_LAST}) order by o desc limit 50")
 def _(spark, sf_dir):
     return cache.touched(Tables(spark, sf_dir).events, "user_id", "value", _ORDER, 50).select(F.col("key").alias("k"))
