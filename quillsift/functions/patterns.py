@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strings import placed
+
 EXACT, CONTAINS, STARTS, ENDS = "exact", "contains", "starts_with", "ends_with"
 _ESCAPE = "!"
 _SPANS = "array<struct<index:int,length:int>>"
@@ -91,16 +93,8 @@ class Wildcard:
         if self.everything or self.option != CONTAINS:
             one = self.match(text)
             return F.filter(F.array(one), lambda s: s["length"] >= 0)
-        found, between = F.regexp_extract_all(text, F.lit(self.regex()), F.lit(0)), F.split(text, self.regex(), -1)
-        first = F.struct(F.lit(0).alias("end"), F.array().cast(_SPANS).alias("out"))
-
-        def step(state: Column, i: Column) -> Column:
-            start = state["end"] + F.length(F.get(between, i))
-            size = F.length(F.get(found, i))
-            return F.struct((start + size).alias("end"), F.array_append(state["out"], F.struct(start.alias("index"), size.alias("length"))).alias("out"))
-
-        walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda s: s["out"])
-        return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(_SPANS))
+        spans = placed(F.regexp_extract_all(text, F.lit(self.regex()), F.lit(0)), F.split(text, self.regex(), -1))
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("index"), (s["end"] - s["start"]).alias("length")))
 
     def to_regex(self, sql: bool = False) -> str:
         """Regular-expression text for other engines: lazy between literals; ``sql`` quotes it as a literal."""

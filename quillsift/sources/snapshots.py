@@ -34,34 +34,65 @@ def append(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.unionByName(other)
 
 
+#: Of applications on one machine that set no shared folder: their own.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of this application's tables, within the one that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where none is set, a temporary one is set, which goes when the driver ends.
+    Where none is set, an application on one machine has a temporary folder, which goes when the driver ends; on a cluster
+    it is an error, as executors would write to disks of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
     if not folder:
-        own = tempfile.mkdtemp(prefix="quillsift-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        folder = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/quillsift/{spark.sparkContext.applicationId}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="quillsift-")
+            atexit.register(shutil.rmtree, _LOCAL[application], ignore_errors=True)
+        folder = f"file://{_LOCAL[application]}"
+    return f"{folder.rstrip('/')}/quillsift/{application}"
+
+
+#: Has Spark delete a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 
-    This cuts the lineage, computes the rows once however often they are read, and outlives lost executors.
+    This cuts the lineage, computes the rows once however often they are read, and outlives lost executors. The shuffle
+    files that the rows came through go once the table is there.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quillsift_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that no later result reads."""
+    for table in tables:
+        _delete(table.sparkSession, table._quillsift_path.rsplit("/", 1)[0])
 
 
 def clean(spark: SparkSession) -> bool:
     """Deletes this application's tables in the shared folder; results that were not written yet can't be read then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, shared_folder(spark))
 
 
 def ranged(df: DataFrame, key: str, name: str = "ranged") -> DataFrame:

@@ -161,5 +161,37 @@ def test_clean(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     table = snapshots.materialize(spark.range(3).toDF("n"), "numbers")
     assert table.count() == 3
-    assert snapshots.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert snapshots.shared_folder(spark).startswith(before or "file://")
     assert before is None or spark.conf.get("spark.checkpoint.dir") == before
+
+
+def test_discard(spark):
+    from quillsift.sources import snapshots
+
+    kept, gone = (snapshots.materialize(spark.range(3).toDF("n"), name) for name in ("kept", "gone"))
+    snapshots.discard(gone)
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
+
+
+def test_shared_folder_must_be_set_on_a_cluster(spark):
+    """A session without the setting: fine on one machine, an error on several, where executors have disks of their own."""
+    from types import SimpleNamespace
+
+    from quillsift.sources import snapshots
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    assert snapshots.shared_folder(session("local[4]")) == snapshots.shared_folder(session("local[4]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        snapshots.shared_folder(session("spark://somewhere:7077"))
+
+
+def test_many_matches(spark):
+    """Spans of thousands of matches, beyond one piece of a running state."""
+    text = "ab-" * 5000 + "é" + "ab" * 700
+    found = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(Wildcard("ab", CONTAINS).matches(F.col("t")).alias("m")).collect()
+    assert [(s["index"], s["length"]) for s in found[0].m] == [(m.start(), 2) for m in re.finditer("ab", text)]
+    assert found[1].m == [] and not found[2].m
