@@ -3,23 +3,29 @@
 Rules ``assign``, ``access`` and ``hex`` give the base spans. Where each match of a pattern lies follows from the lengths
 of the pieces that the same pattern splits the text into.
 
-``entropy`` looks at candidate strings: runs of at least ``WINDOW`` characters of ``[A-Za-z0-9+/_=-]`` with a digit and a
-letter. Each has a character class (hex digits, letters and digits, or base64 with its signs) with a bound of its own. A
-window of ``WINDOW`` characters slides over the candidate; the sum of c * log2(c) over its character counts is kept by
-the counts of the one character that enters and the one that leaves, and the largest entropy decides. Candidates on the
-allow-list (UUIDs, digests of integrity attributes, placeholders, paths and joined words) are suppressed, and so are
-those that overlap a base span. Base spans are never suppressed.
+``entropy`` looks at candidate strings: runs of at least ``WINDOW`` characters of ``ALPHABET`` with a digit (two where letters have one case) and a letter.
+Each has a character class (hex digits, letters of one case and digits, letters and digits, base64 with its signs) with a
+bound of its own: ``BOUNDS`` are the entropies that 99 % of random strings of the class and of ``WINDOW`` characters reach.
+A window slides over the candidate; each step takes one character out of the window's counts and one in, and adds to
+the sum of c * log2(c) what that count's change makes of it; the largest entropy decides. Candidates on the allow-list are suppressed:
+UUIDs, digests of integrity attributes, placeholders, and paths or joined words, whose pieces are words or numbers or
+words that end in a number. So are those that overlap a base span. Base spans are never suppressed.
 
 Defined results: a null text counts as empty and has no spans; positions are code points, ends exclusive; other columns
-are carried along; repeated rows get the same spans; an empty table gives no rows.
+are carried along untouched; where one has the name of a result, in any case, the result's name gets an underscore more;
+repeated rows get the same spans; an empty table gives no rows. Work is in proportion to a text's length, however long
+it or a candidate in it is, or how many matches it has.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from ..functions.strings import placed
+from .shared import free_names, let, own_columns, running, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,58 +33,88 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 WINDOW = 20
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST_VALUE = 8
-#: Bits a character; random strings of each class lie above, words below.
-BOUNDS = {"hex": 3.0, "alnum": 3.9, "base64": 3.9}
-#: A candidate's longest run of letters and digits has at least so many characters, or it is a path or joined words.
-LEAST_RUN = 16
+#: Bits a character: patterns of the classes, the narrowest first, and the 1 % quantile of their random strings of 20 characters.
+BOUNDS = [("^[0-9a-fA-F]+$", 2.9), ("^([0-9a-z]+|[0-9A-Z]+)$", 3.4), ("^[0-9A-Za-z]+$", 3.64), ("", 3.64)]
+#: What no word, number or word that ends in a number holds; strings of both cases have two of them at least.
+INSIDE = "[0-9][A-Za-z]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
+ONE_CASE = "^([^A-Z]+|[^a-z]+)$"
 ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^sha(256|384|512)-|example|sample|placeholder|xxxx|0123456789|abcdefgh"
+#: Weights c * log2(c) are whole numbers of this part of a bit, so that sums don't drift.
+UNIT = 1 << 40
 
 
-def _weight(count: Column) -> Column:
-    return F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
+def _weights(window: int) -> list[int]:
+    return [round(c * math.log2(c) * UNIT) if c else 0 for c in range(window + 1)]
 
 
 def window_entropy(string: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy of a window of the string, in bits a character; null for shorter strings."""
+    """The largest Shannon entropy of a window of the string, in bits a character; null for shorter strings.
+
+    Characters outside ``ALPHABET`` count as one.
+    """
+    weight = _weights(window)
+    gain = F.array(*[F.lit(b - a) for a, b in zip(weight, weight[1:])])
+    slots = len(ALPHABET) + 1
+    #: Counts are the characters of a text from ``base`` on, one for each slot; a step changes one of them.
+    base = 48
+    start = F.struct(F.lit(chr(base) * slots).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("least"))
+
+    def events(places: Column) -> Column:
+        """Slots that enter, by ``slots`` larger where the window is full then; negative where a character leaves."""
+        entering = F.transform(places, lambda s, i: F.when(i < window - 1, F.array(s)).when(i < window, F.array(s + slots)).otherwise(F.array(-F.get(places, i - window), s + slots)))
+        return F.flatten(entering)
 
-    def count(char: Column, start: Column, length: Column) -> Column:
-        part = F.substring(string, start + 1, length)
-        return (F.length(part) - F.length(F.replace(part, char, F.lit("")))).cast("double")
+    def step(state: Column, event: Column) -> Column:
+        def moved(x: Column) -> Column:
+            count = F.ascii(F.substring(state["counts"], x["slot"], F.lit(1))) - base
+            total = F.when(event > 0, state["total"] + F.get(gain, count)).otherwise(state["total"] - F.get(gain, count - 1))
+            counts = F.overlay(state["counts"], F.char(count + base + F.sign(event).cast("int")), x["slot"], F.lit(1))
+            return F.struct(counts.alias("counts"), total.alias("total"), F.when(event > slots, F.least(state["least"], total)).otherwise(state["least"]).alias("least"))
 
-    def step(state: Column, i: Column) -> Column:
-        enters, leaves = F.substring(string, i + 1, F.lit(1)), F.substring(string, i - window + 1, F.lit(1))
-        went = count(leaves, i - window, F.lit(window))
-        total = state["total"] - F.when(i >= window, _weight(went) - _weight(went - 1)).otherwise(F.lit(0.0))
-        start = F.greatest(i - window + 1, F.lit(0))
-        here = count(enters, start, i - start)
-        total = total + _weight(here + 1) - _weight(here)
-        best = F.when(i >= window - 1, F.greatest(state["best"], F.log2(F.lit(float(window))) - total / window)).otherwise(state["best"])
-        return F.struct(total.alias("total"), best.alias("best"))
+        return let(F.struct(F.when(event > slots, event - slots).otherwise(F.abs(event)).alias("slot")), moved)
 
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(-1.0).alias("best"))
-    return F.when(F.length(string) >= window, F.aggregate(F.sequence(F.lit(0), F.length(string) - 1), start, step, lambda s: s["best"]))
+    places = F.transform(F.split(string, ""), lambda c: let(F.instr(F.lit(ALPHABET), c), lambda s: F.when(s == 0, slots).otherwise(s)))
+    least = let(places, lambda p: F.aggregate(events(p), start, step, lambda s: s["least"]))
+    return F.when(F.length(string) >= window, F.log2(F.lit(float(window))) - least / float(UNIT * window))
 
 
 def looks_random(string: Column) -> Column:
     """Whether a candidate's class and entropy make it a secret and the allow-list does not speak for it."""
-    plain = F.regexp_like(string, F.lit("[0-9]")) & F.regexp_like(string, F.lit("[A-Za-z]")) & ~F.regexp_like(string, F.lit(ALLOWED)) & F.regexp_like(string, F.lit(f"[A-Za-z0-9]{{{LEAST_RUN},}}"))
-    bound = F.when(F.regexp_like(string, F.lit("^[0-9a-fA-F]+$")), BOUNDS["hex"]).when(F.regexp_like(string, F.lit("^[A-Za-z0-9]+$")), BOUNDS["alnum"]).otherwise(BOUNDS["base64"])
-    return F.when(plain, window_entropy(string) >= bound).otherwise(F.lit(False))
+
+    def judged(s: Column) -> Column:
+        letters = F.regexp_like(s, F.lit("[A-Za-z]"))
+        one_case = F.regexp_like(s, F.lit(ONE_CASE))
+        digits = F.regexp_like(s, F.lit("[0-9]")) & (~one_case | F.regexp_like(s, F.lit("[0-9].*[0-9]")))
+        inside = F.regexp_count(s, F.lit(INSIDE)) >= F.when(one_case, 1).otherwise(2)
+        bound = F.coalesce(*[F.when(F.regexp_like(s, F.lit(p)), F.lit(b)) for p, b in BOUNDS])
+        return F.when(digits & letters & inside & ~F.regexp_like(s, F.lit(ALLOWED)), window_entropy(s) >= bound).otherwise(F.lit(False))
+
+    return let(string, judged)
 
 
-def _placed(matches: Column, pieces: Column, rank: int) -> Column:
-    """array<struct<start, rank, end, at>> of the matches that split the text into the pieces."""
-    kind = "array<struct<start:int,rank:int,end:int,at:int>>"
-    first = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
+def _found(text: Column, pattern: str, rank: int, value_group: int | None = None) -> Column:
+    """array<struct<start, rank, end, match>>; match: the whole of it, or a group of it."""
+    spans = placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group or 0))
+    made = let(values, lambda v: F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.get(v, i).alias("match"))))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,match:string>>")
+    return F.when(F.regexp_like(text, F.lit(pattern)), made).otherwise(none)
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["end"] + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(matches, i))
-        return F.struct(end.alias("end"), F.array_append(state["out"], F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), i.alias("at"))).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+def _clear_of(candidates: Column, base: Column) -> Column:
+    """The candidates that no base span overlaps. Both are walked in order, forwards for ends and backwards for starts."""
+    entropy = KINDS.index("entropy")
+
+    def both(spans: Column) -> Column:
+        ends = running(spans, F.lit(0), lambda s, x: F.when(x["rank"] < entropy, F.greatest(s, x["end"])).otherwise(s))
+        starts = F.reverse(running(F.reverse(spans), F.lit(2**31 - 1), lambda s, x: F.when(x["rank"] < entropy, x["start"]).otherwise(s)))
+        flagged = let(ends, lambda e: let(starts, lambda b: F.transform(spans, lambda x, i: F.struct(x.alias("span"), ((F.get(e, i) <= x["start"]) & (F.get(b, i) >= x["end"])).alias("clear")))))
+        return F.transform(F.filter(flagged, lambda x: x["clear"] & (x["span"]["rank"] == entropy)), lambda x: x["span"])
+
+    return F.when((F.size(candidates) > 0) & (F.size(base) > 0), let(F.array_sort(F.concat(base, candidates)), both)).otherwise(candidates)
 
 
 def _joined(spans: Column) -> Column:
@@ -86,19 +122,21 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+RESULTS = (*(f"n_{k}" for k in KINDS), "base_spans", "spans")
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_assign, n_access, n_hex, n_entropy, base_spans and spans (array<struct<start, rank, end, at>>)."""
-    patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE)))
+    """``docs`` with n_assign, n_access, n_hex, n_entropy, base_spans and spans (array<struct<start, rank, end, match>>)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({f"__qs_m{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()})
-    out = out.withColumns({f"__qs_p{k}": F.when(F.size(f"__qs_m{k}") > 0, F.split(text, p, -1)) for k, p in patterns.items()} | {"__qs_value": F.when(F.size("__qs_massign") > 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))})
-    out = out.withColumns({f"__qs_s{k}": _placed(F.col(f"__qs_m{k}"), F.col(f"__qs_p{k}"), i) for i, k in enumerate(KINDS)})
-    out = out.withColumn("__qs_sassign", F.filter("__qs_sassign", lambda s: F.length(F.get(F.col("__qs_value"), s["at"])) >= LEAST_VALUE))
-    out = out.withColumn("base_spans", F.concat("__qs_sassign", "__qs_saccess", "__qs_shex"))
-    fresh = F.filter("__qs_sentropy", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & looks_random(F.get(F.col("__qs_mentropy"), s["at"])))
-    out = out.withColumn("__qs_sentropy", fresh)
-    out = out.withColumns({f"n_{k}": F.size(f"__qs_s{k}").cast("long") for k in KINDS} | {"spans": F.concat("base_spans", "__qs_sentropy")})
-    return out.drop(*[c for c in out.columns if c.startswith("__qs_")])
+    rules = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE)))
+    *found, base, entropy = free_names(docs, *(f"__qs_{k}" for k in KINDS), "__qs_base", "__qs_fresh")
+    of = dict(zip(KINDS, found))
+    out = docs.withColumns({of[k]: _found(text, p, i, 2 if k == "assign" else None) for i, (k, p) in enumerate(rules.items())})
+    out = out.withColumn(of["assign"], F.filter(of["assign"], lambda s: F.length(s["match"]) >= LEAST_VALUE))
+    out = out.withColumn(base, F.concat(*[of[k] for k in KINDS[:3]]))
+    out = out.withColumn(entropy, F.filter(_clear_of(F.col(of["entropy"]), F.col(base)), lambda s: looks_random(s["match"])))
+    results = [*(F.size(of[k]).cast("long") for k in KINDS[:3]), F.size(entropy).cast("long"), F.col(base), F.concat(base, entropy)]
+    return out.select(*own_columns(docs), *(r.alias(n) for r, n in zip(results, free_names(docs, *RESULTS))))
 
 
 def query(spark, sf_dir):
@@ -112,17 +150,20 @@ def _oracle() -> str:
 
     patterns = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, CANDIDATE)))
     found = ", ".join(f"regexp_extract_all(t, {quoted(p)}) AS m_{k}, string_split_regex(t, {quoted(p)}) AS p_{k}" for k, p in patterns.items())
-    placed = ", ".join(
+    placed_at = ", ".join(
         f"list_transform(range(1, len(m_{k}) + 1), lambda i: {{'s': list_sum(list_transform(p_{k}[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m_{k}[1:i - 1], lambda x: length(x))), 0)::BIGINT, 'r': {r}, 'n': length(m_{k}[i]), 'm': m_{k}[i], 'i': i}}) AS s_{k}"
         for r, k in enumerate(KINDS)
     )
     entropy = f"list_max(list_transform(range(1, length(x.m) - {WINDOW} + 2), lambda j: -list_sum(list_transform(list_distinct(string_split(substr(x.m, j::INT, {WINDOW}), '')), lambda c: ({WINDOW} - length(replace(substr(x.m, j::INT, {WINDOW}), c, ''))) / {WINDOW}.0 * log2(({WINDOW} - length(replace(substr(x.m, j::INT, {WINDOW}), c, ''))) / {WINDOW}.0)))))"
-    random = f"regexp_matches(x.m, '[0-9]') AND regexp_matches(x.m, '[A-Za-z]') AND NOT regexp_matches(x.m, {quoted(ALLOWED)}) AND regexp_matches(x.m, '[A-Za-z0-9]{{{LEAST_RUN},}}') AND {entropy} >= CASE WHEN regexp_matches(x.m, '^[0-9a-fA-F]+$') THEN {BOUNDS['hex']} ELSE {BOUNDS['alnum']} END"
+    inside = f"len(regexp_extract_all(x.m, {quoted(INSIDE)})) >= CASE WHEN regexp_matches(x.m, {quoted(ONE_CASE)}) THEN 1 ELSE 2 END"
+    bound = "CASE " + " ".join(f"WHEN regexp_matches(x.m, {quoted(p)}) THEN {b}" for p, b in BOUNDS) + " END"
+    digits = f"regexp_matches(x.m, CASE WHEN regexp_matches(x.m, {quoted(ONE_CASE)}) THEN '[0-9].*[0-9]' ELSE '[0-9]' END)"
+    random = f"{digits} AND regexp_matches(x.m, '[A-Za-z]') AND NOT regexp_matches(x.m, {quoted(ALLOWED)}) AND {inside} AND {entropy} >= {bound}"
     text = "array_to_string(list_transform(list_sort(list_transform({0}, lambda x: {{'s': x.s, 'r': x.r, 'e': x.s + x.n}})), lambda x: ['assign', 'access', 'hex', 'entropy'][x.r + 1] || ':' || x.s || ':' || x.e), ',')"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, regexp_extract_all(t, {quoted(ASSIGN)}, 2) AS v, {found} FROM d),
-s AS (SELECT doc_id, v, {placed} FROM m),
+s AS (SELECT doc_id, v, {placed_at} FROM m),
 b AS (SELECT doc_id, list_filter(s_assign, lambda x: length(v[x.i]) >= {LEAST_VALUE}) AS s_assign, s_access, s_hex, s_entropy FROM s),
 c AS (SELECT *, list_concat(list_concat(s_assign, s_access), s_hex) AS base FROM b),
 e AS (SELECT *, list_filter(s_entropy, lambda x: len(list_filter(base, lambda y: y.s < x.s + x.n AND x.s < y.s + y.n)) = 0 AND {random}) AS fresh FROM c)
