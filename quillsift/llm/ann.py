@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by a robust-pruned directed graph.
 
-Distinct vectors are dealt at random to shards of ``SHARD`` vectors or more, and each shard has a graph of its own. From a
+Distinct vectors are dealt at random to shards of about ``SHARD`` vectors, however many there are, and each shard has a graph of its own. From a
 random graph, two passes let every vector search itself greedily: what the search meets is a candidate neighbour, and
 robust pruning keeps the nearest candidate and drops those that are ``alpha`` times nearer to it than to the vector, so
 that the kept edges point in diverse directions. Edges are added backwards and pruned alike. A query searches every
 shard with a beam of ``BEAM`` vertices; the shards' finds are ranked by exact distance in double precision.
 
-A shard's vectors are read first, then its queries stream by in batches, so memory is bounded by LARGEST whatever the
-number of queries. Equal vectors are one vertex with its smallest ids (as many as a result can name), so a vector that
+Graphs are built and searched in single precision, on differences of vectors that a power of two brings to the size of
+one (double vectors are centred first), so neither a common offset nor large components cost precision.
+
+A shard's vectors are read first, then its queries stream by in batches, so memory is bounded by a shard's size whatever
+the number of queries. Every query searches every shard, so the cost is queries times shards. Equal vectors are one vertex with its smallest ids (as many as a result can name), so a vector that
 many rows share costs what a single one does.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 from .shared import materialize, table
 
 NEAREST = 10
-#: Vectors of a shard: so many, or more so that there are ``SHARDS`` of them, up to what fits a worker's memory with ease.
-SHARD, SHARDS, LARGEST = 4096, 256, 65536
+#: Vectors of a shard, on average.
+SHARD = 4096
 #: Edges of a vertex, and vertices that a search keeps.
 DEGREE, BEAM = 32, 64
 ALPHAS = (1.0, 1.2)
-ENTRIES = 24
+ENTRIES = 64
 #: Queries that are searched in one go, and at most so many cells of queries times vectors.
 BLOCK, CELLS = 512, 1 << 21
 
@@ -47,7 +50,6 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, seed: int = 0):
         self.x = vectors
-        self.norms = np.einsum("nd,nd->n", vectors, vectors)
         self.degree, self.beam = degree, beam
         n = len(vectors)
         self.block = max(16, min(BLOCK, CELLS // n))
@@ -65,8 +67,9 @@ class Graph:
     def _distances(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query to its row of ids; infinite where the id is -1."""
         near = np.maximum(ids, 0)
-        out = self.norms[near] - 2 * np.einsum("brd,bd->br", self.x[near], queries, optimize=True) + np.einsum("bd,bd->b", queries, queries)[:, None]
-        return np.where(ids < 0, np.inf, out)
+        apart = self.x[near]
+        apart -= queries[:, None]
+        return np.where(ids < 0, np.inf, np.einsum("brd,brd->br", apart, apart))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Beams of ids and squared distances, nearest first; -1 beyond the last."""
@@ -110,7 +113,8 @@ class Graph:
         alive = np.isfinite(dist)
         kept = np.full((len(of), self.degree), -1, dtype=np.int64)
         rows = np.arange(len(of))
-        points = self.x[np.maximum(candidates, 0)]
+        # seen from the vertex, so that what is subtracted below is as small as the distances themselves
+        points = self.x[np.maximum(candidates, 0)] - self.x[of][:, None]
         for r in range(self.degree):
             if not alive.any():
                 break
@@ -118,7 +122,7 @@ class Graph:
             some = alive[rows, pick]
             chosen = candidates[rows, pick]
             kept[some, r] = chosen[some]
-            between = self.norms[np.maximum(candidates, 0)] - 2 * np.einsum("bcd,bd->bc", points, points[rows, pick], optimize=True) + self.norms[np.maximum(chosen, 0)][:, None]
+            between = dist - 2 * np.einsum("bcd,bd->bc", points, points[rows, pick], optimize=True) + dist[rows, pick][:, None]
             alive &= ~((alpha * alpha * between <= dist) & some[:, None])
             alive[rows, pick] = False
         return kept
@@ -149,11 +153,31 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
+class Shard:
+    """The graph of a shard's vectors; finds are scored in double precision on the vectors as they are."""
+
+    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM):
+        self.vectors = vectors
+        self.shift = vectors.mean(axis=0) if vectors.dtype == np.float64 else np.zeros(vectors.shape[1], vectors.dtype)
+        # a power of two, so that scaling changes no digit
+        self.exponent = int(np.frexp(np.abs(vectors).max())[1])
+        self.graph = Graph(self.seen(vectors), degree, beam)
+
+    def seen(self, vectors: np.ndarray) -> np.ndarray:
+        return np.ldexp(np.ldexp(vectors, -self.exponent - 1) - np.ldexp(self.shift, -self.exponent - 1), 1).clip(-1e9, 1e9).astype(np.float32)
+
+    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Beams of vertices, -1 beyond the last, and their distances."""
+        found, _ = self.graph.search(self.seen(queries))
+        near, asked = (np.ldexp(x.astype(np.float64), -self.exponent) for x in (self.vectors[np.maximum(found, 0)], queries))
+        return found, np.ldexp(np.sqrt(((near - asked[:, None]) ** 2).sum(axis=2)), self.exponent)
+
+
 def _serve(nearest: int, degree: int, beam: int):
     """Streams shards: their vectors (no query_id) first, then queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts, graph, vectors, ids = None, [], None, None, None
+        shard, parts, graph, ids = None, [], None, None
         for batch in batches:
             shards = batch.column(0).to_numpy(zero_copy_only=False)
             asks = ~np.asarray(batch.column(1).is_null())
@@ -170,15 +194,12 @@ def _serve(nearest: int, degree: int, beam: int):
                 if graph is None:
                     if not parts:  # no candidates of this length
                         continue
-                    vectors = np.concatenate([_vectors(p.column(2)) for p in parts])
+                    graph = Shard(np.concatenate([_vectors(p.column(2)) for p in parts]), degree, beam)
                     ids = [x for p in parts for x in p.column(3).to_pylist()]
-                    graph = Graph(vectors.astype(np.float32), degree, beam)
-                for s in range(0, rows.num_rows, graph.block):
-                    part = rows.slice(s, graph.block)
-                    queries = _vectors(part.column(2))
-                    found, _ = graph.search(queries.astype(np.float32))
+                for s in range(0, rows.num_rows, graph.graph.block):
+                    part = rows.slice(s, graph.graph.block)
+                    found, exact = graph.search(_vectors(part.column(2)))
                     out: list[list] = [[], [], []]
-                    exact = np.sqrt(((vectors[np.maximum(found, 0)].astype(np.float64) - queries[:, None].astype(np.float64)) ** 2).sum(axis=2))
                     for q, row, scores in zip(part.column(1).to_pylist(), found, exact):
                         best = sorted((float(d), i) for v, d in zip(row, scores) if v >= 0 for i in ids[v] if i != q)[:nearest]
                         out[0] += [q] * len(best)
@@ -203,7 +224,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shard
     # a query's own id may be among them, hence one more
     few = vectors.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= nearest + 1)
     distinct = materialize(few.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
-    lengths = [(r["d"], -(-r["n"] // min(LARGEST, max(shard, r["n"] // SHARDS)))) for r in distinct.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()]
+    lengths = [(r["d"], -(-r["n"] // shard)) for r in distinct.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()]
     # shards are numbered through the lengths, of which there is one as a rule
     first, total = [], 0
     for d, n in lengths:

@@ -26,6 +26,35 @@ def test_graph_recall(n, clusters):
     assert ((graph.edges >= 0).sum(axis=1) <= graph.degree).all()
 
 
+@pytest.mark.parametrize("dtype", [np.float32, np.float64])
+@pytest.mark.parametrize("kind", ["plain", "offset", "large", "small", "clusters", "many clusters", "far clusters"])
+def test_shard_recall(kind, dtype):
+    """Shards of the production size, with vectors for which sums of squares lose all digits in single precision."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(ann.SHARD, 32))
+    if kind == "offset":
+        x = 100 + 0.01 * x
+    elif kind == "large":
+        x = 1e20 * x if dtype is np.float32 else 1e250 * x
+    elif kind == "small":
+        x = 1e-30 * x if dtype is np.float32 else 1e-250 * x
+    elif kind != "plain":
+        centres = rng.normal(size=(50 if kind == "clusters" else 400, 32))
+        x = centres[rng.integers(0, len(centres), len(x))] * (1000 if kind == "far clusters" else 20) + 0.1 * x
+    x = x.astype(dtype)
+    queries = x[::41]
+    found, scores = ann.Shard(x).search(queries)
+    scale = 2.0 ** np.frexp(np.abs(x).max())[1]
+    wide = x.astype(np.float64) / scale
+    hits = []
+    for q, row, score in zip(wide[::41], found, scores):
+        exact = np.sqrt(((wide - q) ** 2).sum(axis=1))
+        best = row[row >= 0][np.argsort(score[row >= 0])[:10]]
+        hits.append(len(set(best) & set(np.argsort(exact)[:10])) / 10)
+        assert np.allclose(score[row >= 0], exact[row[row >= 0]] * scale, rtol=1e-12)
+    assert np.mean(hits) >= 0.9, np.mean(hits)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 33, 34, 60])
 def test_small_graphs_are_exact(n):
     x = np.random.default_rng(n).normal(size=(n, 4)).astype(np.float32)
