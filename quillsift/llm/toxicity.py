@@ -1,17 +1,18 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score from the words in it, and the document's score is
-their noisy-or: 1 - prod(1 - p). Only documents are labelled; the gradient of the documents' likelihood goes through the
+their noisy-or: 1 - prod(1 - p), over the sentences of probability ``FLOOR`` or more and the likeliest of the others. Only documents are labelled; the gradient of the documents' likelihood goes through the
 noisy-or to the sentences, so the model learns which sentences offend, and ``locate`` shows them.
 
 The model is fitted on a bounded sample of labelled rows: the ``SAMPLE`` labelled training documents with the smallest
-hash of their id. Candidate words are the ``FEATURES`` ones whose document counts in the sample say most about the label
-(likelihood ratio). So what reaches the driver is bounded: SAMPLE rows of feature numbers, and the weights are at most
-FEATURES numbers, whatever the input. Every document is scored, whole.
+hash of their id. Its words are all those whose document counts in the sample say something about the label (likelihood
+ratio of ``LEAST_RATIO`` or more). Sentences with the same words of a document are one with a number. So what reaches
+the driver and what is broadcast come from the sample, whatever the input. Every document is scored, whole.
 
 Defined results: null and empty texts have no sentence and score 0; a null label is none; of several labels of a
-document the largest counts; without labels, or with one kind only, no word has a weight; equal texts score equally; an
-empty table gives no rows.
+document the largest counts; without labels, or with one kind only, no word has a weight; equal texts score equally, so
+repeated rows stay or go together; a text may be of any length; other columns are carried along untouched, and where one
+is named ``offending`` that result's name gets an underscore more; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_mod, materialize, table
+from .shared import crc_mod, free_names, materialize, own_columns, table
 
 SAMPLE = 20_000
-FEATURES = 512
 #: A word takes part from this likelihood ratio on (chi-square with one degree of freedom, p = 0.001).
 LEAST_RATIO = 10.83
+#: Sentences below this probability don't add up, or any text would offend once it is long enough.
+FLOOR = 0.05
+_FLOOR_LOGIT = float(np.log(FLOOR / (1 - FLOOR)))
 ENDS = b".!?\n"
 #: Lower-cases A-Z, ends sentences at ENDS, and makes other punctuation white space; bytes from 128 on stay.
 _PLAIN = bytes(10 if bytes([b]) in ENDS else b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 or b == 39 else 32 for b in range(256))
@@ -49,16 +52,22 @@ class Model:
     weights: dict[bytes, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.calm = -np.logaddexp(0.0, self.bias)  # log(1 - p) of a sentence without weighted words
         self.words = frozenset(self.weights)
 
     def logit(self, words) -> float:
         return self.bias + sum(self.weights[w] for w in self.words.intersection(words))
 
     def score(self, text: bytes | None) -> float:
-        total = 0.0
+        """Of the sentences that are less likely than ``FLOOR``, or have no word that speaks for them, the likeliest counts."""
+        total, faint = 0.0, None
         for words in sentences(text or b""):
-            total += self.calm if self.words.isdisjoint(words) else -float(np.logaddexp(0.0, self.logit(words)))
+            z = self.bias if self.words.isdisjoint(words) else self.logit(words)
+            if z > self.bias and z >= _FLOOR_LOGIT:
+                total -= float(np.logaddexp(0.0, z))
+            elif faint is None or z > faint:
+                faint = z
+        if faint is not None:
+            total -= float(np.logaddexp(0.0, faint))
         return float(-np.expm1(total))
 
     def locate(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
@@ -72,24 +81,24 @@ class Model:
         return found
 
 
-def fit(labels: np.ndarray, calm: np.ndarray, owner: np.ndarray, lengths: np.ndarray, words: np.ndarray, n_words: int, steps: int = 400, rate: float = 0.1, decay: float = 2e-5) -> tuple[float, np.ndarray]:
+def fit(labels: np.ndarray, calm: np.ndarray, owner: np.ndarray, times: np.ndarray, lengths: np.ndarray, words: np.ndarray, n_words: int, steps: int = 400, rate: float = 0.1, decay: float = 2e-5) -> tuple[float, np.ndarray]:
     """Full-batch Adam on the documents' likelihood; labels may be wrong, so each has a share ``slack`` of doubt.
 
-    calm: sentences of each document without feature words; owner, lengths, words: the other sentences, their documents
-    and their words, joined together.
+    calm: sentences of each document without feature words; owner, times, lengths, words: the other sentences, their
+    documents, how often each occurs there, and their words, joined together.
     """
     slack = 0.02
-    w, b = np.zeros(n_words), -np.log(max(1.0, (calm.sum() + len(lengths)) / max(1, labels.sum())))
+    w, b = np.zeros(n_words), -np.log(max(1.0, (calm.sum() + times.sum()) / max(1, labels.sum())))
     first = np.cumsum(lengths) - lengths
     of_word = np.repeat(np.arange(len(lengths)), lengths)
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
     for t in range(1, steps + 1):
         z = b + (np.add.reduceat(w[words], first) if len(lengths) else np.zeros(0))
-        clear = -calm * np.logaddexp(0.0, b) - np.bincount(owner, np.logaddexp(0.0, z), minlength=len(labels))
+        clear = -calm * np.logaddexp(0.0, b) - np.bincount(owner, times * np.logaddexp(0.0, z), minlength=len(labels))
         none = np.exp(clear)  # the probability that no sentence offends
         p = slack + (1 - 2 * slack) * (1 - none)
         pull = -(1 - 2 * slack) * none * (p - labels) / (p * (1 - p))  # d loss / d clear
-        at = -pull[owner] / (1 + np.exp(-z))
+        at = -pull[owner] * times / (1 + np.exp(-z))
         grad = np.append(np.bincount(words, at[of_word], minlength=n_words), at.sum() - (pull * calm).sum() / (1 + np.exp(-b))) / len(labels)
         grad[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -122,22 +131,27 @@ def _bags(vocabulary: list[bytes]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            calm, lengths, words = [], [], []
+            calm, times, lengths, words = [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = [{number[w] for w in s if w in number} for s in sentences(text or b"")]
-                calm.append(sum(not f for f in found))
-                lengths.append([len(f) for f in found if f])
-                words.append([i for f in found for i in sorted(f)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(calm, pa.int64()), pa.array(lengths, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))], names=["label", "calm", "lengths", "words"])
+                found = Counter(tuple(sorted({number[w] for w in s if w in number})) for s in sentences(text or b""))
+                calm.append(found.pop((), 0))
+                times.append(list(found.values()))
+                lengths.append([len(f) for f in found])
+                words.append([i for f in found for i in f])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(calm, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (times, lengths, words))], names=["label", "calm", "times", "lengths", "words"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """``docs``: doc_id, text of the rows that may be learned from; ``labels``: doc_id, toxic."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     marked = marked.select("doc_id", (F.col("label") > 0).cast("int").alias("label")).where(crc_mod(F.col("doc_id"), 5) != 0)
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marked = materialize(marked.withColumn("h", F.xxhash64("doc_id")), "marked")
+    # hashes are even, so little more than the sample is sorted, however many labels there are
+    share = 1.05 * sample / max(1, marked.count())
+    few = marked.where(F.col("h") <= int(-(2**63) + share * 2**64)) if share < 1 else marked
+    marked = few.orderBy("h", "doc_id").limit(sample).select("doc_id", "label")
     known = docs.join(F.broadcast(marked), "doc_id").select("label", F.col("text").cast("binary").alias("text"))
     known = materialize(known, "labelled")
     counts = known.mapInArrow(_word_counts, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -151,14 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     share = (F.col("toxic") + F.col("clean")) / (n1 + n0)
     ratio = 2 * (term(F.col("toxic"), share * n1) + term(F.col("clean"), share * n0) + term(n1 - F.col("toxic"), (1 - share) * n1) + term(n0 - F.col("clean"), (1 - share) * n0))
-    top = counts.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(features)
-    vocabulary = [bytes(r["word"]) for r in top.select("word").collect()]
-    bags = known.mapInArrow(_bags(vocabulary), "label int, calm long, lengths array<long>, words array<long>").toPandas()
-    lengths = [np.asarray(x, dtype=np.int64) for x in bags["lengths"]]
-    bias, weights = fit(
-        bags["label"].to_numpy(dtype=float), bags["calm"].to_numpy(dtype=float), np.repeat(np.arange(len(bags)), [len(x) for x in lengths]),
-        np.concatenate([*lengths, np.zeros(0, np.int64)]), np.concatenate([*(np.asarray(x, dtype=np.int64) for x in bags["words"]), np.zeros(0, np.int64)]), len(vocabulary),
-    )
+    top = counts.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    vocabulary = sorted(bytes(r["word"]) for r in top.select("word").collect())
+    bags = known.mapInArrow(_bags(vocabulary), "label int, calm long, times array<long>, lengths array<long>, words array<long>").toPandas()
+    times, lengths, words = (np.concatenate([*(np.asarray(x, dtype=np.int64) for x in bags[c]), np.zeros(0, np.int64)]) for c in ("times", "lengths", "words"))
+    owner = np.repeat(np.arange(len(bags)), [len(x) for x in bags["lengths"]])
+    bias, weights = fit(bags["label"].to_numpy(dtype=float), bags["calm"].to_numpy(dtype=float), owner, times.astype(float), lengths, words, len(vocabulary))
     return Model(bias, {w: float(x) for w, x in zip(vocabulary, weights) if abs(x) > 0.05})
 
 
@@ -178,7 +190,7 @@ def offending(model: Model, docs: DataFrame, least: float = 0.5) -> DataFrame:
     def spans(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"start": s, "end": e, "score": p} for s, e, p in model.locate(t, least)] for t in texts])
 
-    return docs.withColumn("offending", spans("text"))
+    return docs.select(*own_columns(docs), spans("text").alias(free_names(docs, "offending")[0]))
 
 
 def query(spark, sf_dir):
