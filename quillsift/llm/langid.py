@@ -10,7 +10,9 @@ Profiles are learned from all training documents, with partial sums per task. Wh
 for each language, and at most ``LANGUAGES`` languages.
 
 Defined results: null texts and texts without letters get ``und`` and score 0, as do all texts if nothing was learned;
-a null lang is not learned from; equal texts get equal results; ties between languages go to the first by name.
+a null lang is not learned from; equal texts get equal results, in repeated rows too; ties between languages go to the
+first by name; texts of any length are counted whole, long ones in pieces that are cut between words; other columns have
+no part in it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,6 +110,21 @@ class Identifier:
         return self.names[best], 1 - out[best] / (PROFILE * len(top))
 
 
+def whole_words(text: str) -> Iterator[str]:
+    """The text in pieces of at most ``CHUNK`` characters, cut between words; a longer word is a piece of its own."""
+    lo = 0
+    while len(text) - lo > CHUNK:
+        hi = lo + CHUNK
+        while hi > lo and not _BETWEEN.match(text, hi - 1):
+            hi -= 1
+        if hi == lo:
+            after = _BETWEEN.search(text, lo + CHUNK)
+            hi = after.start() if after else len(text)
+        yield text[lo:hi]
+        lo = hi
+    yield text[lo:]
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[str]] = {}
     size: Counter = Counter()
@@ -119,10 +136,9 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for lo in range(0, len(text), CHUNK):
-                # a very long text is cut at its pieces' ends, where an n-gram or two may go uncounted
-                held.setdefault(lang, []).append(text[lo : lo + CHUNK])
-                size[lang] += min(CHUNK, len(text) - lo)
+            for piece in whole_words(text):
+                held.setdefault(lang, []).append(piece)
+                size[lang] += len(piece)
                 if size[lang] >= CHUNK:
                     yield flush(lang)
         if len(held) > 64:  # many languages at once: what is held stays bounded
