@@ -1,23 +1,32 @@
 """Near-duplicates by SimHash and a self-join of binary tries.
 
-Documents with equal fingerprints are one vertex. A fingerprint's 64 bits are searched in ``parts``: two vertices within
-``budget`` differing bits differ in at most budget // parts bits of some part. There they agree on at least one of
-budget // parts + 1 blocks (pigeonhole), so each block gives a trie that has this block at the top, where no error is
-spent; the subtrees below the top are the work units. In a subtree, pairs of nodes are traversed together, level by
+Documents with equal fingerprints are one vertex. Two vertices within ``budget`` of 64 differing bits agree on at least
+one of budget + 1 blocks of bits (pigeonhole), so each block gives a trie that has this block at the top, where no error
+is spent; the subtrees below the top are the work units. In a subtree, pairs of nodes are traversed together, level by
 level: differing branches add to the errors, and a pair goes once the errors exceed the budget, or if all its vertices
 are known to be connected. Pairs of small nodes are compared directly. A unit returns a spanning forest of its links,
 never all pairs, so a group of k copies gives fewer than k rows; the components of the forests are those of all links. A
 unit with more than ``HOT`` vertices is split by the pigeonhole over its other bits.
 
 ``near_groups`` links fingerprints of four-word shingles within four bits. That finds copies with hardly a change: of
-texts whose five-word shingles are 0.8 alike, few are so near. ``drop_near_copies`` is for these: it links all pairs whose
-sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts with one set are one vertex. Two such sets have
-one of their rarest shingles in common (prefix filter), which proposes the pairs; each is compared set by set. Besides, it
-links fingerprints of the sets of words within ``WORD_BUDGET`` of 64 bits whose 256-bit fingerprints of the five-word
-shingles differ in at most ``CHECK_BUDGET`` bits.
+texts whose five-word shingles are 0.8 alike, few are so near. ``drop_near_copies`` is for these: it links just the pairs whose
+sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts with one set are one vertex. The tries of the
+sets' fingerprints propose pairs, and ``set_links`` proposes all others that can be so alike; each pair is compared set by set.
+
+``set_links`` in three steps, of which none loses a pair:
+
+1. A set's sketch is its smallest hashes, 30 % of them. As a set that is 0.8 alike another misses at most a fifth of it, and
+   so does the other, their sketches share a tenth of their members at least. Sets whose sketches share less
+   with all others together have no partner and are out of play. Only sketches are shuffled for it.
+2. Sets in play are posted under their rarest shingles, so many that two sets 0.8 alike have one in common (prefix filter).
+   Of each posting the set with the fewest shingles of its own is the hub; each set is compared with the hub that it meets
+   most often. This connects a group of copies by fewer pairs than it has members.
+3. Pairs of a posting that are not connected by then are counted, those of sets with the hub's component left out. Pairs
+   that share too few of the posted shingles to be 0.8 alike go, all others are compared.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and the empty set, which link like any other; a
-null doc_id is never the smallest one of its component unless all are null; repeated rows are linked; an empty table
+null doc_id is never the smallest one of its component unless all are null; repeated rows are linked, and rows equal in
+doc_id and text stay or go together; other columns are carried along untouched whatever their names; an empty table
 gives no rows.
 """
 
@@ -33,14 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import ASCII_LOWER, materialize, table
+from .shared import ASCII_LOWER, discard, free_names, materialize, own_columns, table
 
 BUDGET = 4
 SHINGLE = 4
 SEED = 42
-#: Of ``drop_near_copies``: words of a shingle, bits of the fingerprint of the word set, and of 256 bits of the check.
-CHECK_SHINGLE, WORD_BUDGET, CHECK_BUDGET = 5, 9, 48
-_MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+#: Of ``drop_near_copies``: words of a shingle.
+SET_SHINGLE = 5
 #: Vertices of a unit from which on it is split once more.
 HOT = 50_000
 #: Rows of consecutive units that are joined in one go, and pairs that are looked at in one go.
@@ -70,46 +78,27 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """Bits that are set in over half of the 64-bit hashes in each column, packed."""
-    counts = np.zeros((hashes.shape[1], 64), dtype=np.int64)
-    for lo in range(0, len(hashes), 8192):
-        part = np.ascontiguousarray(hashes[lo : lo + 8192])
-        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64).reshape(-1, 64)
-    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
-
-
-def _words_and_shingles(text: bytes | None) -> tuple[list[bytes], np.ndarray]:
-    """The words, and XXH64 of their five-word shingles; of all words where there are fewer."""
+def shingle_set(text: bytes | None, width: int = SET_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The sorted set of the signed XXH64 of the text's shingles; of all words where there are fewer."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").translate(ASCII_LOWER).split()
     if not words:
-        return words, np.zeros(0, dtype="<u8")
+        return np.zeros(0, dtype=np.int64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
-    width = min(CHECK_SHINGLE, len(words))
+    width = min(width, len(words))
     starts = (ends - lengths)[: len(words) - width + 1].tolist()
-    return words, np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
-
+    return np.unique(np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist())], dtype=np.uint64).view(np.int64))
 
-def _prints(words: list[bytes], shingles: np.ndarray) -> list[int]:
-    from xxhash import xxh64_intdigest
 
-    if not words:
-        return [0] * 5
-    of_set = _majority(np.array([xxh64_intdigest(w, SEED) for w in set(words)], dtype="<u8")[:, None])
-    hashes = shingles[:, None]
-    mixed = (hashes ^ (hashes >> np.uint64(29))) * _MIXERS
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIXERS[0]
-    mixed ^= mixed >> np.uint64(29)
-    return np.concatenate([of_set, _majority(mixed)]).view(np.int64).tolist()
-
-
-def near_copy_prints(text: bytes | None) -> list[int]:
-    """Signed: the fingerprint of the set of words, and four of the five-word shingles."""
-    return _prints(*_words_and_shingles(text))
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Signed; a bit is set if it is set in over half of the hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(hashes), 8192):
+        counts += np.unpackbits(hashes[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprint_column(text: Column) -> Column:
@@ -120,21 +109,18 @@ def fingerprint_column(text: Column) -> Column:
     return fingerprints(text.cast("binary"))
 
 
-_CHECKS = [f"check{i}" for i in range(len(_MIXERS))]
-
-
-def near_copy_column(text: Column) -> Column:
-    """struct<fp, check0, ..., shingles>; shingles: the sorted set of the five-word shingles' hashes."""
-    kind = T.StructType([*[T.StructField(c, T.LongType()) for c in ("fp", *_CHECKS)], T.StructField("shingles", T.ArrayType(T.LongType()))])
+def set_column(text: Column) -> Column:
+    """struct<digest, fp, shingles>: 128 bits that name the set, its fingerprint, and the sorted set."""
+    kind = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     @F.pandas_udf(kind)
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        found = [_words_and_shingles(t) for t in texts]
-        out = pd.DataFrame(np.array([_prints(*x) for x in found], dtype=np.int64).reshape(-1, 1 + len(_CHECKS)), columns=["fp", *_CHECKS])
-        out["shingles"] = pd.Series([np.unique(x.view(np.int64)) for _, x in found], dtype=object)
-        return out
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        from xxhash import xxh3_128_digest
+
+        found = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"digest": [xxh3_128_digest(x.tobytes()) for x in found], "fp": [set_fingerprint(x) for x in found], "shingles": pd.Series(found, dtype=object)})
 
-    return prints(text.cast("binary"))
+    return sets(text.cast("binary"))
 
 
 def blocks_of(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -148,21 +134,19 @@ def _rotated(column: Column, by: int) -> Column:
 
 
 class Forest:
-    """Joins the tries of ranges [lo, hi) of sorted 64-bit keys, whose first ``bits`` bits are searched.
+    """Joins the tries of ranges [lo, hi) of sorted 64-bit keys; keys within ``budget`` bits are linked.
 
-    Two vertices are linked if those bits differ in at most ``near`` places, the keys in ``budget``, and the checks, where
-    given, in ``check_budget``. labels: the smallest vertex of each component.
+    labels: the smallest vertex of each component.
     """
 
-    def __init__(self, keys: np.ndarray, budget: int = BUDGET, near: int | None = None, bits: int = 64, checks: np.ndarray | None = None, check_budget: int = 0):
-        self.keys, self.budget, self.near, self.last = keys, budget, budget if near is None else near, 63 - bits
-        self.checks, self.check_budget = checks, check_budget
+    def __init__(self, keys: np.ndarray, budget: int = BUDGET):
+        self.keys, self.budget = keys, budget
         self.labels = np.arange(len(keys))
         self.ones: dict[int, np.ndarray] = {}
 
     def join(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         # what is nearly equal is connected first, which spares the second round most pairs of a dense group
-        for near in sorted({min(1, self.near), self.near}):
+        for near in sorted({min(1, self.budget), self.budget}):
             self._traverse(lo, hi, near)
         return self.labels
 
@@ -185,11 +169,7 @@ class Forest:
         apart = (i < j) & (self.labels[i] != self.labels[j])
         i, j = i[apart], j[apart]
         near = np.bitwise_count(self.keys[i] ^ self.keys[j]) <= self.budget
-        i, j = i[near], j[near]
-        if self.checks is not None and len(i):
-            near = np.bitwise_count(self.checks[i] ^ self.checks[j]).sum(axis=1) <= self.check_budget
-            i, j = i[near], j[near]
-        self._merge(i, j)
+        self._merge(i[near], j[near])
 
     def _pairs(self, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> None:
         """Compares the vertices of node pairs, so many at a time."""
@@ -224,7 +204,7 @@ class Forest:
             go_on = ~self._connected(*nodes[:4])
             nodes = [x[go_on] for x in nodes]
             a_lo, a_hi, b_lo, b_hi, err = nodes
-            small = ((a_hi - a_lo) * (b_hi - b_lo) <= SMALL) | (bit <= self.last)
+            small = ((a_hi - a_lo) * (b_hi - b_lo) <= SMALL) | (bit < 0)
             if small.any():
                 self._pairs(a_lo[small], a_hi[small], b_lo[small], b_hi[small])
             big = ~small
@@ -259,12 +239,12 @@ def trie_forest(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int =
 _UNIT = ["block", "bucket", "sub", "subbucket"]
 
 
-def _forest(budget: int, near: int, bits: int, check_budget: int):
-    """Streams sorted units (the columns of _UNIT, key, node, checks) and gives links (u, v) of their forests, as nodes."""
+def _forest(budget: int):
+    """Streams sorted units (the columns of _UNIT, key, node) and gives links (u, v) of their forests, as nodes."""
 
-    def join(held: list[np.ndarray]) -> pa.RecordBatch:
-        units, keys, nodes = held[:4], held[4].view(np.uint64), held[5]
-        checks = np.stack([c.view(np.uint64) for c in held[6:]], axis=1) if len(held) > 6 else None
+    def join(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        *units, keys, nodes = (np.concatenate(x) for x in zip(*held))
+        keys = keys.view(np.uint64)
         new = np.zeros(len(keys), dtype=bool)
         new[0] = True
         for u in units:
@@ -272,63 +252,49 @@ def _forest(budget: int, near: int, bits: int, check_budget: int):
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(keys))
         two = hi - lo > 1
-        labels = Forest(keys, budget, near, bits, checks, check_budget).join(lo[two], hi[two])
+        labels = trie_forest(keys, lo[two], hi[two], budget)
         linked = np.flatnonzero(labels != np.arange(len(keys)))
         return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) >= CHUNK:
-                other = np.flatnonzero(np.any([u != u[-1] for u in held[:4]], axis=0))
-                if len(other):  # the last unit may go on in the next batch
-                    cut = other[-1] + 1
-                    yield join([x[:cut] for x in held])
-                    held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
+            last = np.flatnonzero(np.any([u != u[-1] for u in new[: len(_UNIT)]], axis=0))
+            if rows >= CHUNK and len(last):  # the last unit may go on in the next batch
+                cut = last[-1] + 1
+                yield join([*held, [x[:cut] for x in new]])
+                held, rows, new = [], 0, [x[cut:] for x in new]
+            held.append(new)
+            rows += len(new[0])
+        if held:
             yield join(held)
 
     return run
 
 
-def near_links(vertices: DataFrame, budget: int = BUDGET, parts: int = 1, checks: tuple[str, ...] = (), check_budget: int = 0, hot: int = HOT) -> DataFrame:
-    """Distinct vertices (node, fp, checks) -> links (u, v) of nodes that connect just what all links connect."""
-    bits, near = 64 // parts, budget // parts
+def near_links(vertices: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """Distinct vertices (node, fp) -> links (u, v) of nodes that connect just what all links connect."""
     units = []
-    for part in range(parts):
-        for lo, width in blocks_of(bits, near + 1):
-            # the block comes first, the other bits of the part next, then those of the other parts
-            whole = _rotated(F.col("fp"), part * bits)
-            if parts == 1:
-                key = _rotated(whole, lo)
-            else:
-                top = F.shiftrightunsigned(whole, 64 - bits)
-                turned = F.shiftleft(top, lo).bitwiseOR(F.shiftrightunsigned(top, bits - lo)).bitwiseAND(F.lit((1 << bits) - 1)) if lo else top
-                key = F.shiftleft(turned, 64 - bits).bitwiseOR(whole.bitwiseAND(F.lit((1 << (64 - bits)) - 1)))
-            units.append(F.struct(F.lit(len(units)).alias("block"), F.shiftrightunsigned(key, 64 - width).alias("bucket"), key.alias("key")))
-    rows = vertices.select("node", *checks, F.explode(F.array(*units)).alias("x")).select("x.*", "node", *checks)
+    for i, (lo, width) in enumerate(blocks_of(64, budget + 1)):
+        key = _rotated(F.col("fp"), lo)
+        units.append(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(key, 64 - width).alias("bucket"), key.alias("key")))
+    rows = vertices.select("node", F.explode(F.array(*units)).alias("x")).select("x.*", "node")
     crowded = rows.groupBy("block", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", "bucket", F.lit(True).alias("hot"))
     rows = rows.join(crowded, ["block", "bucket"], "left")
-    # below the block, any pair that is near in the part agrees on one of near + 1 groups of its other bits too
-    below = max(w for _, w in blocks_of(bits, near + 1))
-    groups = [(below + lo, width) for lo, width in blocks_of(bits - below, near + 1)]
+    # below the block, any pair that is near agrees on one of budget + 1 groups of its other bits too
+    below = max(w for _, w in blocks_of(64, budget + 1))
+    groups = [(below + lo, width) for lo, width in blocks_of(64 - below, budget + 1)]
     whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subbucket")))
     split = F.array(*[F.struct(F.lit(i).alias("sub"), F.shiftrightunsigned(F.shiftleft(F.col("key"), lo), 64 - width).alias("subbucket")) for i, (lo, width) in enumerate(groups)])
-    rows = rows.withColumn("y", F.explode(F.when(F.col("hot"), split).otherwise(whole))).select("block", "bucket", "y.sub", "y.subbucket", "key", "node", *checks)
+    rows = rows.withColumn("y", F.explode(F.when(F.col("hot"), split).otherwise(whole))).select("block", "bucket", "y.sub", "y.subbucket", "key", "node")
     # flipping the sign makes the order of longs that of unsigned numbers
     order = [*_UNIT, F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))]
     dealt = rows.repartition(*_UNIT).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_forest(budget, near, bits, check_budget), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
-
-
-def near_components(rows: DataFrame, order: Column, **options) -> DataFrame:
-    """Rows with ``node`` and ``fp`` -> (node, first): the smallest ``order`` of all rows in the node's component."""
-    nodes = materialize(rows.groupBy("node", "fp").agg(F.min(order).alias("first")), "nodes")
-    return _firsts(nodes, near_links(nodes.select("node", "fp"), **options))
+    return dealt.mapInArrow(_forest(budget), T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
 def _members(links: DataFrame) -> DataFrame:
@@ -338,6 +304,7 @@ def _members(links: DataFrame) -> DataFrame:
 
 
 def _firsts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes with ``first`` -> (node, first): the smallest of the node's component."""
     members = _members(links)
     least = members.join(nodes, "node").groupBy("root").agg(F.min("first").alias("least"))
     linked = members.join(least, "root").select("node", "least")
@@ -346,39 +313,71 @@ def _firsts(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (u, v) of nodes those whose sets are 0.8 alike or more."""
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(9 * shared >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+    """Of distinct pairs (u, v) of nodes those whose sets are 0.8 alike or more."""
+    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def _missing(size: Column) -> Column:
+    """Members of a set that another one 0.8 alike can lack."""
+    return F.floor(size / 5)
+
+
+def _spare(size: Column) -> Column:
+    """Members of a sketch beyond those that one common member takes."""
+    return F.least(F.ceil(size / 10), size - _missing(size) - 1)
 
 
-def set_links(sets: DataFrame) -> DataFrame:
+def in_play(sets: DataFrame) -> DataFrame:
+    """The nodes (node) of distinct sets (node, shingles) whose sketches share so much with others as one 0.8 alike would."""
+    size = F.size("shingles")
+    # the empty set is one node and has no partner
+    sketches = sets.where(size > 0).select("node", size.alias("size"), F.explode(F.slice("shingles", F.lit(1), (_missing(size) + 1 + _spare(size)).cast("int"))).alias("s"))
+    # written, so that the join has an exchange on either side, and Spark can split a shingle that many nodes share
+    shared = materialize(sketches.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s"), "shared")
+    # a partner has four fifths of the size at least
+    least = 1 + _spare(F.ceil(4 * F.col("size") / 5))
+    return sketches.join(shared, "s").groupBy("node", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("node")
+
+
+def _in_size(a: str, b: str) -> Column:
+    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+
+
+def set_links(sets: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     """Nodes with distinct sets (node, shingles) -> links (u, v) that connect just what all pairs 0.8 alike or more connect.
 
-    Each node is posted under the first members of its set, the rarest first, so many that two sets 0.8 alike have one of them in common.
+    ``proposed``: pairs (u, v) that are compared with the first ones.
     """
-    sized = sets.withColumn("size", F.size("shingles"))
-    every = sized.select("node", "size", F.explode("shingles").alias("s"))
-    # written, so that the join has an exchange on either side, and Spark can split a shingle that many nodes share
+    every = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
     often = materialize(every.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared_shingles")
     ranked = every.join(often, "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("common"))
-    # the prefix has size - ceil(0.8 size) + 1 members; those that no other node has come first and need no posting
-    posted = F.expr("size - (4 * size + 4) div 5 + 1 - (size - size(common))").cast("int")
-    postings = ranked.withColumn("posted", posted).where("posted > 0").select("node", "size", F.explode(F.slice("common", F.lit(1), F.col("posted"))).alias("x"))
-    postings = materialize(postings.select(F.col("x.s").alias("s"), "node", "size"), "postings")
-    # each posting's first node is compared with the others, which connects most of what is alike with few pairs
-    first = materialize(postings.groupBy("s").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
-    links = materialize(_alike(postings.join(first, "s").where("node <> u").select("u", F.col("node").alias("v")), sets), "first_links")
-    # then all pairs that are not connected yet
+    # the prefix has one member more than another set can lack; those that no other node has come first and need no posting
+    own = F.col("size") - F.size("common")
+    posted = (_missing(F.col("size")) + 1 - own).cast("int")
+    postings = ranked.withColumn("posted", posted).where("posted > 0").select("node", "size", own.alias("own"), F.explode(F.slice("common", F.lit(1), F.col("posted"))).alias("x"))
+    postings = materialize(postings.select(F.col("x.s").alias("s"), "node", "size", "own"), "postings")
+    hubs = materialize(postings.groupBy("s").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("u"), F.col("size").alias("hub_size"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "hub.u", "hub.hub_size"), "hubs")
+    met = postings.join(hubs, "s").where((F.col("node") != F.col("u")) & _in_size("size", "hub_size")).groupBy("node", "u").agg(F.count(F.lit(1)).alias("n"))
+    pairs = met.groupBy(F.col("node").alias("v")).agg(F.max(F.struct("n", "u")).alias("x")).select("x.u", "v")
+    if proposed is not None:
+        pairs = pairs.unionByName(proposed)
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = materialize(_alike(pairs, sets), "first_links")
+    # then all pairs that are not connected yet; a posting's nodes that the hub's component lacks meet all its other nodes
     labelled = materialize(postings.join(_members(links), "node", "left").select("s", "node", "size", F.coalesce("root", "node").alias("root")), "labelled")
-    mixed = materialize(labelled.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s"), "mixed")
-    open_ones = materialize(labelled.join(mixed, "s"), "open_postings")
-    a, b = (open_ones.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "root")]) for side in "ab")
-    near_in_size = (5 * F.col("size_a") >= 4 * F.col("size_b")) & (5 * F.col("size_b") >= 4 * F.col("size_a"))
-    # a node has one root, so each pair of nodes comes in one order
-    pairs = a.join(b, "s").where((F.col("root_a") < F.col("root_b")) & near_in_size).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    return links.unionByName(_alike(pairs, sets))
+    of_hub = hubs.join(labelled.select("s", F.col("node").alias("u"), F.col("root").alias("hub_root")), ["s", "u"]).select("s", "hub_root")
+    sided = materialize(labelled.join(materialize(of_hub, "hub_roots"), "s").withColumn("apart", F.col("root") != F.col("hub_root")).drop("hub_root"), "sided")
+    open_ones = sided.where("apart").select("s").distinct()
+    a, b = (x.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "root", "apart")]) for x, side in ((sided.where("apart"), "a"), (sided.join(materialize(open_ones, "open"), "s"), "b")))
+    once = ~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))
+    met = a.join(b, "s").where((F.col("root_a") != F.col("root_b")) & once & _in_size("size_a", "size_b"))
+    u_first = F.col("node_a") < F.col("node_b")
+    met = met.groupBy(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"), F.when(u_first, F.col("size_a")).otherwise(F.col("size_b")).alias("size_u"), F.when(u_first, F.col("size_b")).otherwise(F.col("size_a")).alias("size_v")).agg(F.count(F.lit(1)).alias("n"))
+    # beyond the prefixes, at most what is left of one of the two can be common
+    rest = F.greatest(*[F.col(c) - _missing(F.col(c)) - 1 for c in ("size_u", "size_v")])
+    met = materialize(met.where(9 * (F.col("n") + rest) >= 4 * (F.col("size_u") + F.col("size_v"))).select("u", "v"), "open_pairs")
+    return links.unionByName(materialize(_alike(met, sets), "other_links"))
 
 
 def _by_id(tie: Column) -> Column:
@@ -387,26 +386,35 @@ def _by_id(tie: Column) -> Column:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
-    rows = docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")).withColumn("node", F.col("fp"))
-    rows = materialize(rows, "fingerprints")
-    found = near_components(rows, _by_id(F.lit(0)))
-    return rows.join(found, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+    rows = materialize(docs.select("doc_id", fingerprint_column(F.col("text")).alias("node")), "fingerprints")
+    nodes = materialize(rows.groupBy("node").agg(F.min(_by_id(F.lit(0))).alias("first")), "nodes")
+    found = _firsts(nodes, near_links(nodes.select("node", F.col("node").alias("fp"))))
+    return rows.join(found, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that with the smallest doc_id; rows equal in doc_id and text stay or go together."""
     tie = F.xxhash64("text")
-    rows = docs.select("doc_id", tie.alias("tie"), near_copy_column(F.col("text")).alias("prints")).select("doc_id", "tie", "prints.*")
-    rows = materialize(rows.withColumns({"node": F.xxhash64("shingles"), "print": F.xxhash64("fp", *_CHECKS)}), "fingerprints")
-    nodes = materialize(rows.groupBy("node").agg(F.min(_by_id(F.col("tie"))).alias("first")), "nodes")
-    sets = materialize(rows.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    prints = materialize(rows.select(F.col("print").alias("node"), "fp", *_CHECKS).distinct(), "prints")
-    by_print = near_links(prints, checks=tuple(_CHECKS), budget=WORD_BUDGET, parts=2, check_budget=CHECK_BUDGET)
-    has_print = rows.select(F.col("node").alias("u"), F.col("print").alias("v")).distinct()
-    found = _firsts(nodes, set_links(sets).unionByName(by_print).unionByName(has_print))
-    gone = rows.select("doc_id", "tie", "node").join(found, "node").where(~_by_id(F.col("tie")).eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__qs_id"), F.col("tie").alias("__qs_tie")).distinct()
-    keyed = docs.withColumn("__qs_text", tie)
-    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__qs_id")) & (F.col("__qs_text") == F.col("__qs_tie")), "left_anti").select(*docs.columns)
+    whole = materialize(docs.select("doc_id", tie.alias("tie"), F.monotonically_increasing_id().alias("row"), set_column(F.col("text")).alias("x")).select("doc_id", "tie", "row", "x.*"), "sets")
+    rows = materialize(whole.select("doc_id", "tie", "row", "digest"), "rows")
+    # a set's node is the number of its first row
+    nodes = materialize(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min(_by_id(F.col("tie"))).alias("first")), "nodes")
+    # sketches of repeated sets only bring more of them into play
+    chosen = in_play(whole.select(F.col("row").alias("node"), "shingles")).join(nodes.select("node"), "node", "left_semi")
+    sets = materialize(whole.select(F.col("row").alias("node"), "fp", "shingles").join(materialize(chosen, "in_play"), "node", "left_semi"), "sets_in_play")
+    discard(whole)
+    prints = materialize(sets.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    near = near_links(prints.select(F.col("fp").alias("node"), "fp"))
+    by_print = [prints.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node")) for c in "uv"]
+    near = near.join(by_print[0], "u").join(by_print[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    equal = sets.select("fp", F.col("node").alias("v")).join(prints.select("fp", F.col("node").alias("u")), "fp").where("u <> v").select("u", "v")
+    found = _firsts(nodes.select("node", "first"), set_links(sets.select("node", "shingles"), near.unionByName(equal)))
+    numbered = materialize(nodes.select("digest", "node").join(found, "node").select("digest", "first"), "firsts")
+    id_name, tie_name, text_name = free_names(docs, "__qs_id", "__qs_tie", "__qs_text")
+    gone = rows.join(numbered, "digest").where(~_by_id(F.col("tie")).eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(id_name), F.col("tie").alias(tie_name)).distinct()
+    gone = materialize(gone, "near_copies")
+    keyed = docs.withColumn(text_name, tie)
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.col(text_name) == F.col(tie_name)), "left_anti").select(*own_columns(docs))
 
 
 def query(spark, sf_dir):
