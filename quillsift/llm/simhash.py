@@ -21,8 +21,8 @@ sets' fingerprints propose pairs, and ``set_links`` proposes all others that can
 2. Sets in play are posted under their rarest shingles, so many that two sets 0.8 alike have one in common (prefix filter).
    Of each posting the set with the fewest shingles of its own is the hub; each set is compared with the hub that it meets
    most often. This connects a group of copies by fewer pairs than it has members.
-3. Pairs of a posting that are not connected by then are counted, those of sets with the hub's component left out. Pairs
-   that share too few of the posted shingles to be 0.8 alike go, all others are compared.
+3. Pairs of a posting that are not connected by then are compared, if the shingle comes early enough in both sets for
+   their sizes. In one of the two sets of such a pair it comes within the first ninth, so only these sets meet others.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and the empty set, which link like any other; a
 null doc_id is never the smallest one of its component unless all are null; repeated rows are linked, and rows equal in
@@ -109,18 +109,28 @@ def fingerprint_column(text: Column) -> Column:
     return fingerprints(text.cast("binary"))
 
 
-def set_column(text: Column) -> Column:
-    """struct<digest, fp, shingles>: 128 bits that name the set, its fingerprint, and the sorted set."""
-    kind = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+_SET = [T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]
 
-    @F.pandas_udf(kind)
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        from xxhash import xxh3_128_digest
 
-        found = [shingle_set(t) for t in texts]
-        return pd.DataFrame({"digest": [xxh3_128_digest(x.tobytes()) for x in found], "fp": [set_fingerprint(x) for x in found], "shingles": pd.Series(found, dtype=object)})
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns but the last, a text, and _SET; few rows at a time."""
+    from xxhash import xxh3_128_digest
 
-    return sets(text.cast("binary"))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            rows = batch.slice(lo, 256)
+            found = [shingle_set(t.as_py()) for t in rows.columns[-1]]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+            made = [pa.array([xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([set_fingerprint(x) for x in found], pa.int64()), shingles]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *made], names=[*rows.schema.names[:-1], *(f.name for f in _SET)])
+
+
+def with_sets(rows: DataFrame) -> DataFrame:
+    """Rows, whose last column is a text, with digest (128 bits that name its set), fp (the set's fingerprint) and shingles
+    (the sorted set) in its place."""
+    text = rows.columns[-1]
+    return rows.withColumn(text, F.col(text).cast("binary")).mapInArrow(_sets, T.StructType([*rows.schema.fields[:-1], *_SET]))
 
 
 def blocks_of(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -355,8 +365,10 @@ def set_links(sets: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
     # the prefix has one member more than another set can lack; those that no other node has come first and need no posting
     own = F.col("size") - F.size("common")
     posted = (_missing(F.col("size")) + 1 - own).cast("int")
-    postings = ranked.withColumn("posted", posted).where("posted > 0").select("node", "size", own.alias("own"), F.explode(F.slice("common", F.lit(1), F.col("posted"))).alias("x"))
-    postings = materialize(postings.select(F.col("x.s").alias("s"), "node", "size", "own"), "postings")
+    postings = ranked.withColumn("posted", posted).where("posted > 0").select("node", "size", own.alias("own"), F.posexplode(F.slice("common", F.lit(1), F.col("posted"))).alias("at", "x"))
+    # with what is left of the set from the shingle on, a partner can have so many members
+    most = F.floor(9 * (F.col("size") - F.col("own") - F.col("at")) / 4) - F.col("size")
+    postings = materialize(postings.select(F.col("x.s").alias("s"), "node", "size", "own", most.cast("int").alias("most")), "postings")
     hubs = materialize(postings.groupBy("s").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("u"), F.col("size").alias("hub_size"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "hub.u", "hub.hub_size"), "hubs")
     met = postings.join(hubs, "s").where((F.col("node") != F.col("u")) & _in_size("size", "hub_size")).groupBy("node", "u").agg(F.count(F.lit(1)).alias("n"))
     pairs = met.groupBy(F.col("node").alias("v")).agg(F.max(F.struct("n", "u")).alias("x")).select("x.u", "v")
@@ -364,19 +376,20 @@ def set_links(sets: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
         pairs = pairs.unionByName(proposed)
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links = materialize(_alike(pairs, sets), "first_links")
-    # then all pairs that are not connected yet; a posting's nodes that the hub's component lacks meet all its other nodes
-    labelled = materialize(postings.join(_members(links), "node", "left").select("s", "node", "size", F.coalesce("root", "node").alias("root")), "labelled")
+    # then all pairs that are not connected yet
+    labelled = materialize(postings.join(_members(links), "node", "left").select("s", "node", "size", "most", F.coalesce("root", "node").alias("root")), "labelled")
     of_hub = hubs.join(labelled.select("s", F.col("node").alias("u"), F.col("root").alias("hub_root")), ["s", "u"]).select("s", "hub_root")
     sided = materialize(labelled.join(materialize(of_hub, "hub_roots"), "s").withColumn("apart", F.col("root") != F.col("hub_root")).drop("hub_root"), "sided")
-    open_ones = sided.where("apart").select("s").distinct()
-    a, b = (x.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "root", "apart")]) for x, side in ((sided.where("apart"), "a"), (sided.join(materialize(open_ones, "open"), "s"), "b")))
-    once = ~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))
-    met = a.join(b, "s").where((F.col("root_a") != F.col("root_b")) & once & _in_size("size_a", "size_b"))
-    u_first = F.col("node_a") < F.col("node_b")
-    met = met.groupBy(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"), F.when(u_first, F.col("size_a")).otherwise(F.col("size_b")).alias("size_u"), F.when(u_first, F.col("size_b")).otherwise(F.col("size_a")).alias("size_v")).agg(F.count(F.lit(1)).alias("n"))
-    # beyond the prefixes, at most what is left of one of the two can be common
-    rest = F.greatest(*[F.col(c) - _missing(F.col(c)) - 1 for c in ("size_u", "size_v")])
-    met = materialize(met.where(9 * (F.col("n") + rest) >= 4 * (F.col("size_u") + F.col("size_v"))).select("u", "v"), "open_pairs")
+    early = F.col("most") >= F.col("size")
+    # neither two sets of the hub's component meet, nor two in which the shingle comes late
+    a, b, hub_a, late_b = (
+        x.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "most", "root", "apart")])
+        for x, side in ((sided.where(F.col("apart") & early), "a"), (sided, "b"), (sided.where(~F.col("apart") & early), "a"), (sided.where(F.col("apart") & ~early), "b"))
+    )
+    fits = (F.col("root_a") != F.col("root_b")) & _in_size("size_a", "size_b") & (F.col("size_b") <= F.col("most_a")) & (F.col("size_a") <= F.col("most_b"))
+    once = ~(F.col("apart_b") & (F.col("most_b") >= F.col("size_b"))) | (F.col("node_a") < F.col("node_b"))
+    met = a.join(b, "s").where(fits & once).select("node_a", "node_b").unionByName(hub_a.join(late_b, "s").where(fits).select("node_a", "node_b"))
+    met = materialize(met.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct(), "open_pairs")
     return links.unionByName(materialize(_alike(met, sets), "other_links"))
 
 
@@ -395,7 +408,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component stays, that with the smallest doc_id; rows equal in doc_id and text stay or go together."""
     tie = F.xxhash64("text")
-    whole = materialize(docs.select("doc_id", tie.alias("tie"), F.monotonically_increasing_id().alias("row"), set_column(F.col("text")).alias("x")).select("doc_id", "tie", "row", "x.*"), "sets")
+    numbered = with_sets(docs.select("doc_id", tie.alias("tie"), F.monotonically_increasing_id().alias("row"), "text"))
+    whole = materialize(numbered, "sets")
     rows = materialize(whole.select("doc_id", "tie", "row", "digest"), "rows")
     # a set's node is the number of its first row
     nodes = materialize(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min(_by_id(F.col("tie"))).alias("first")), "nodes")

@@ -162,7 +162,7 @@ def test_all_pairs_that_are_alike_are_linked(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
     assert len(pairs) > 50 and kept <= set(top)
-    rows = docs.select("doc_id", simhash.set_column(F.col("text"))["shingles"].alias("shingles")).withColumn("node", F.xxhash64("shingles")).collect()
+    rows = docs.select("doc_id", "text").transform(simhash.with_sets).withColumn("node", F.xxhash64("shingles")).collect()
     sets = spark.createDataFrame(list({r.node: (r.node, r.shingles) for r in rows}.values()), "node long, shingles array<long>")
     links = {frozenset((r.u, r.v)) for r in simhash.set_links(sets).collect()}
     playing = {r.node for r in simhash.in_play(sets).collect()}
