@@ -3,7 +3,7 @@
 A Misra-Gries summary finds the digests that may hold a large share of all rows. Their exact counts and winners are
 verified, and the verified ones (at most ``1 / share`` by arithmetic, whatever the input) are broadcast, so that copies
 of frequent texts are settled on the map side and never meet in one task. All other digests, none of which holds more
-than ``share`` of the rows, go through an ordinary shuffle of slim rows.
+than ``share`` of the rows, go through an ordinary shuffle of slim rows: an aggregation, and a join that Spark may split.
 
 Texts are compared by SHA-256 of the text with A-Z lower-cased.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, materialize
+from .shared import free_names, lower_ascii, materialize, own_columns
 
 #: A digest that holds at least this share of the rows is a heavy hitter; so there are at most 1000.
 HEAVY_SHARE = 0.001
@@ -54,17 +54,15 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("__qs_row") == F.col("__qs_winner.__qs_row")).alias("kept"),
         F.col("__qs_digest").alias("text_sha256"),
     )
-    group = Window.partitionBy("__qs_digest")
-    of_rest = (
-        rows.join(heavy.select("__qs_digest"), "__qs_digest", "left_anti")
-        .withColumn("__qs_winner", F.max(F.struct("__qs_id", "__qs_row")).over(group))
-        .select(
-            F.col("__qs_id").alias(id_col),
-            F.col("__qs_winner.__qs_id").alias("keep_id"),
-            F.count(F.lit(1)).over(group).alias("group_size"),
-            (F.col("__qs_row") == F.col("__qs_winner.__qs_row")).alias("kept"),
-            F.col("__qs_digest").alias("text_sha256"),
-        )
+    rest = rows.join(heavy.select("__qs_digest"), "__qs_digest", "left_anti")
+    # written, so that the join has an exchange on either side, and Spark can split a digest that many rows share
+    winners = materialize(rest.groupBy("__qs_digest").agg(F.max(F.struct("__qs_id", "__qs_row")).alias("__qs_winner"), F.count(F.lit(1)).alias("__qs_size")), "winners")
+    of_rest = rest.join(winners, "__qs_digest").select(
+        F.col("__qs_id").alias(id_col),
+        F.col("__qs_winner.__qs_id").alias("keep_id"),
+        F.col("__qs_size").alias("group_size"),
+        (F.col("__qs_row") == F.col("__qs_winner.__qs_row")).alias("kept"),
+        F.col("__qs_digest").alias("text_sha256"),
     )
     return of_heavy.unionByName(of_rest)
 
@@ -72,15 +70,26 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = HEAVY_SHARE) -> DataFrame:
     """The rows that stay, with all their columns.
 
-    Copies of a heavy hitter go on the map side. What is left is shuffled once, by digest.
+    Which rows go is decided on ids and digests alone. Copies of a heavy hitter go on the map side; the texts are joined
+    with the other groups that have copies, one row a group.
     """
-    keyed = docs.withColumn("__qs_digest", text_digest(F.col(text_col)))
-    slim = materialize(keyed.select(F.col(id_col).alias("__qs_id"), "__qs_digest"), "digests")
-    heavy = F.broadcast(heavy_winners(slim, F.col("__qs_id"), share).withColumn("__qs_heavy", F.lit(True)))
-    left = keyed.join(heavy, "__qs_digest", "left").where(F.col("__qs_heavy").isNull() | F.col(id_col).eqNullSafe(F.col("__qs_winner")))
+    digest, winner, heavy_winner, is_heavy, top, rank = free_names(docs, *(f"__qs_{n}" for n in ("text_digest", "best", "heavy_best", "heavy", "top", "rank")))
+    keyed = docs.withColumn(digest, text_digest(F.col(text_col)))
+    slim = materialize(keyed.select(F.col(id_col).alias("__qs_id"), F.col(digest).alias("__qs_digest")), "digests")
+    heavy = materialize(heavy_winners(slim, F.col("__qs_id"), share), "heavy")
+    # a group's largest id, and how many rows have it
+    found = slim.groupBy("__qs_digest", "__qs_id").agg(F.count(F.lit(1)).alias("n")).groupBy("__qs_digest").agg(F.max(F.struct("__qs_id", "n")).alias("best"), F.sum("n").alias("size"))
+    copied = found.where("size > 1").select(F.col("__qs_digest").alias(digest), F.col("best.__qs_id").alias(winner), F.col("best.n").alias(top))
+    copied = materialize(copied, "copied")
+    left = keyed.join(F.broadcast(heavy.select(F.col("__qs_digest").alias(digest), F.col("__qs_winner").alias(heavy_winner), F.lit(True).alias(is_heavy))), digest, "left")
+    left = left.where(F.col(is_heavy).isNull() | F.col(id_col).eqNullSafe(F.col(heavy_winner)))
+    left = left.join(copied, digest, "left").where(F.col(top).isNull() | F.col(id_col).eqNullSafe(F.col(winner)))
+    if copied.where(F.col(top) > 1).isEmpty():
+        return left.select(*own_columns(docs))
     # rows that are equal in text and id differ in nothing that matters but need one fixed order
-    order = Window.partitionBy("__qs_digest").orderBy(F.col(id_col).desc_nulls_last(), F.xxhash64(*[c for c in docs.columns if c != text_col]))
-    return left.withColumn("__qs_rank", F.row_number().over(order)).where("__qs_rank = 1").select(*docs.columns)
+    order = Window.partitionBy(digest).orderBy(F.xxhash64(*own_columns(docs)))
+    again = left.where(F.col(top) > 1).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return left.where(F.coalesce(F.col(top), F.lit(1)) == 1).select(*own_columns(docs)).union(again.select(*own_columns(docs)))
 
 
 def query(spark, sf_dir):

@@ -62,3 +62,12 @@ def test_empty_table(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").collect()]
     assert got(exact_dedup.query(spark, TABLES)) == plain(rows)
+
+
+def test_columns_named_like_helpers(spark):
+    names = ["__qs_text_digest", "__QS_best", "__qs_heavy", "__qs_top", "__qs_digest", "x.y"]
+    frame = spark.createDataFrame([(i, "Same" if i < 3 else f"t{i}", *([f"mine{i}"] * len(names))) for i in range(6)], ["doc_id", "text", *names])
+    for share in (exact_dedup.HEAVY_SHARE, 0.9):
+        kept = exact_dedup.drop_copies(frame, share=share)
+        assert kept.columns == frame.columns
+        assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in frame.collect() if r.doc_id >= 2}
