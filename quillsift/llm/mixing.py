@@ -9,7 +9,8 @@ the map side). The prefix sum over these ranges shows the one range in which the
 range are sorted, all others are decided by their range alone.
 
 Defined results: a null text has no words; null is a source of its own, after all others; a source without words has
-target 0; rows that are equal in all that matters share one fate up to their order; an empty table gives no rows.
+target 0; rows that are equal in all that matters share one fate up to their order; rows without an id have the key of
+their text; other columns are carried along untouched whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize, table
+from .shared import WORD, free_names, materialize, own_columns, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_EPOCHS = 3
@@ -36,6 +37,11 @@ def exponential_key(identity: Column, weight: Column, seed: str) -> Column:
     return -F.log(u) / weight
 
 
+def identity_of(id_col: str, text_col: str) -> Column:
+    """The id, or a digest of the text where there is none, lest all rows without an id have one key."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """(source, source_size) -> also target: the words of all sources, shared by weight, none above ``most`` epochs.
 
@@ -56,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken of every row. ``weight``: quality, above 0; 1 where not given."""
     quality = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight, F.lit(1.0)), F.lit(1e-9))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), exponential_key(F.col(id_col), quality, seed).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), exponential_key(identity_of(id_col, text_col), quality, seed).alias("key"))
     rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
     return _taken(materialize(rows, "keys"), weights, most)
 
@@ -90,17 +96,17 @@ def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(best, F.col("doc_id") == F.col("__qs_label"), "left").withColumn("__qs_weight", rate).drop("__qs_label", "__qs_quality")
 
 
-def _keyed(slim: DataFrame, labels: DataFrame, seed: str) -> DataFrame:
+def _keyed(slim: DataFrame, labels: DataFrame, seed: str, keep_id: bool = False) -> DataFrame:
     """The written table of (doc_id, source, size, key, bucket) of slim rows; the key comes from ``identity``."""
-    rows = quality_weight(slim, labels).select(F.col("identity").alias("doc_id"), "source", "size", exponential_key(F.col("identity"), F.col("__qs_weight"), seed).alias("key"))
+    rows = quality_weight(slim, labels).select(*(["doc_id"] if keep_id else [F.col("identity").alias("doc_id")]), "source", "size", exponential_key(F.col("identity"), F.col("__qs_weight"), seed).alias("key"))
     rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
     return materialize(rows, "keys")
 
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", F.col("doc_id").alias("identity"), "source", words_in(F.col("text")).alias("size"))
-    return _taken(_keyed(slim, table(spark, sf_dir, "labels"), "mix"), WEIGHTS, MOST_EPOCHS).drop("source")
+    slim = docs.select("doc_id", identity_of("doc_id", "text").alias("identity"), "source", words_in(F.col("text")).alias("size"))
+    return _taken(_keyed(slim, table(spark, sf_dir, "labels"), "mix", keep_id=True), WEIGHTS, MOST_EPOCHS).drop("source")
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
@@ -108,21 +114,21 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, weights: tuple[float, ..
     the budget cuts counts as taken if at least half of it fits. Rows without words are in the mix as often as their
     source has complete epochs, and are gone where it has none. The texts are shuffled once, by document.
     """
-    columns = docs.columns
+    key, times, copy = free_names(docs, "__qs_key", "__qs_copies", "__qs_copy")
     # rows equal in every column share one decision, so each of them gets its own copies and no more
-    identity = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*columns).cast("string"))
+    identity = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*own_columns(docs)).cast("string"))
     slim = docs.select("doc_id", identity.alias("identity"), "source", words_in(F.col("text")).alias("size"))
     taken = _taken(_keyed(slim, labels, seed), weights, most)
     share = F.when(F.sum("size") > 0, F.sum("taken") / F.sum("size")).otherwise(F.floor(F.max(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))))
-    copies = taken.groupBy(F.col("doc_id").alias("__qs_key")).agg(F.round(share).cast("int").alias("__qs_copies")).where("__qs_copies > 0")
-    joined = docs.withColumn("__qs_key", identity).join(copies, "__qs_key")
-    return joined.withColumn("__qs_copy", F.explode(F.sequence(F.lit(1), F.col("__qs_copies")))).select(*columns)
+    copies = taken.groupBy(F.col("doc_id").alias(key)).agg(F.round(share).cast("int").alias(times)).where(F.col(times) > 0)
+    joined = docs.withColumn(key, identity).join(copies, key)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*own_columns(docs))
 
 
 ORACLE = """
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-           -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+           -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
              / CASE l.q WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS key
     FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)
 ), s AS (

@@ -89,3 +89,21 @@ def test_nothing_to_take(spark, rows):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text", "source").collect()]
     check(rows, mixing.query(spark, TABLES).collect())
+
+
+def test_columns_named_like_helpers(spark):
+    names = ["__qs_key", "__qs_COPY", "__qs_copies", "identity", "x.y"]
+    frame = spark.createDataFrame([(i, "a b c", f"s{i % 2}", *([f"mine{i}"] * len(names))) for i in range(40)], ["doc_id", "text", "source", *names])
+    mixed = mixing.mixed_documents(frame, spark.createDataFrame([], "doc_id long, quality int"))
+    assert mixed.columns == frame.columns
+    got = {tuple(r) for r in mixed.collect()}
+    assert got <= {tuple(r) for r in frame.collect()} and len(got) > 20
+
+
+def test_rows_without_an_id_have_keys_of_their_own(spark):
+    rows = [(None, f"a b {i}", "s") for i in range(50)] + [(None, None, "s")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    keys = frame.select(mixing.exponential_key(mixing.identity_of("doc_id", "text"), F.lit(1.0), "mix").alias("k")).distinct().count()
+    assert keys == 51
+    found = mixing.mix(frame).collect()
+    assert len(found) == 51 and sum(r.taken for r in found) == 150
