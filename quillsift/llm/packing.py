@@ -9,10 +9,11 @@ gives a boundary record on either side. So every id lies in exactly one piece, a
 Ids are those of ``tokenizers`` with the given file. They are computed by ``tiktoken`` from the same vocabulary, read
 from the same file, which gives the same ids (tested) several times faster. Texts that hold two white-space characters
 in a row, or the beginning of a special token's string, are encoded by ``tokenizers`` itself; for all others the
-vocabulary's way of splitting needs no look-ahead.
+vocabulary's way of splitting needs no look-ahead. So are all texts if the file is not of the kind for which this holds.
 
-Defined results: a null text counts as empty and has the end id alone; null and repeated doc_ids are kept as they are;
-an empty table gives no pieces.
+Defined results: a null text counts as empty and has the end id alone; null and repeated doc_ids are kept as they are,
+of whatever type; a text of any length is encoded whole; equal texts have equal ids; other columns have no part in it; an
+empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from .shared import materialize, table
 
 LENGTH = 2048
 END_ID = 1
-_TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
-_PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+_TOKENS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
+_PIECES = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 #: How byte-level vocabularies split a text that has no two white-space characters in a row.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 _OTHER = re.compile(r"\s\s")
@@ -50,6 +51,22 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def follows_ids(vocabulary: dict) -> bool:
+    """Whether a tokenizer's file asks for nothing but byte pairs that are merged in the order of their ids, within ``SPLIT``."""
+    split, model = vocabulary.get("pre_tokenizer") or {}, vocabulary["model"]
+    if vocabulary.get("normalizer") or vocabulary.get("truncation") or vocabulary.get("padding"):
+        return False
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    known, special = model["vocab"], {t["content"] for t in vocabulary["added_tokens"]}
+    merged = [known.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in model["merges"]]
+    # with byte pairs alone every other token is a single byte
+    plain = [t for t in known if t not in special and len(t) == 1]
+    return all(a < b for a, b in zip([max((known[t] for t in plain), default=-1), *merged], merged)) and len(plain) == 256 and len(known) == len(plain) + len(merged) + len(special & known.keys())
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -63,12 +80,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = json.loads(Path(path).read_text())
         self.special = [t["content"] for t in vocabulary["added_tokens"]]
+        self.encode = None
+        if not follows_ids(vocabulary):
+            return
         to_byte = _byte_alphabet()
         ranks = {bytes(map(to_byte.__getitem__, token)): i for token, i in vocabulary["model"]["vocab"].items() if token not in self.special}
         self.encode = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        if _OTHER.search(text) or any(s in text for s in self.special):
+        if self.encode is None or _OTHER.search(text) or any(s in text for s in self.special):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.encode(text)
@@ -106,33 +126,36 @@ def _tokenize(path: str, end: bytes):
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in _PIECES.fields]
-            for doc, at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            rows: list[int] = []
+            out: list[list[int]] = [[] for _ in _PIECES.fields]
+            for row, (at, packed) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
                 raw = packed.as_py()
                 ids = raw[1:] if raw[0] == 4 else np.frombuffer(raw, dtype="<u2", offset=1).astype("<u4").tobytes()
                 n, start = len(ids) // 4, 0
                 while start < n:
                     sequence, offset = divmod(at + start, length)
                     size = min(length - offset, n - start)
-                    for column, value in zip(out, (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, sequence, offset)):
+                    rows.append(row)
+                    for column, value in zip(out, (start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, sequence, offset)):
                         column.append(value)
                     start += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=_PIECES.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in out)], names=["doc_id", *_PIECES.names])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` ids."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = materialize(slim.mapInArrow(_tokenize(tokenizer_path, np.array([end_id], dtype="<u4").tobytes()), _TOKENS), "tokens")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    doc_id = slim.schema["doc_id"]
+    tokens = materialize(slim.mapInArrow(_tokenize(tokenizer_path, np.array([end_id], dtype="<u4").tobytes()), T.StructType([doc_id, *_TOKENS.fields])), "tokens")
     ids = (F.octet_length("ids") - 1) / F.when(F.hex(F.substring("ids", 1, 1)) == "02", 2).otherwise(4)
     # one row per partition of the input, so one task sums them up
     totals = tokens.groupBy("part").agg(F.max(F.col("at") + ids.cast("long")).alias("total"))
     totals = materialize(totals, "totals")
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
     placed = tokens.join(bases, "part").select("doc_id", (F.coalesce("base", F.lit(0)) + F.col("at")).alias("at"), "ids")
-    return placed.mapInArrow(_cut(length), _PIECES)
+    return placed.mapInArrow(_cut(length), T.StructType([doc_id, *_PIECES.fields]))
 
 
 def padded_length(pieces: DataFrame, length: int = LENGTH) -> DataFrame:

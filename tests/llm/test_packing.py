@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -74,3 +75,29 @@ def test_empty_table(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TABLES}/documents.parquet").collect()]
     check(rows, packing.query(spark, TABLES).collect(), packing.LENGTH)
+
+
+def test_ids_of_any_type_extra_columns_and_long_texts(spark):
+    rows = [("a", "x y", "mine"), ("b", "word " * 60_000, "mine"), (None, None, "mine")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, sequence_id string")
+    pieces = packing.pack(frame, PATH)
+    assert pieces.schema["doc_id"].dataType == frame.schema["doc_id"].dataType
+    check([r[:2] for r in rows], pieces.collect(), packing.LENGTH)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"merges": 1}])
+def test_other_kinds_of_files_are_left_to_their_library(tmp_path, change):
+    import json
+
+    file = json.loads(open(PATH, encoding="utf-8").read())
+    assert packing.follows_ids(file)
+    if "merges" in change:
+        merges = file["model"]["merges"]
+        merges[1], merges[5] = merges[5], merges[1]
+    else:
+        file |= change
+    assert not packing.follows_ids(file)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(file))
+    encode = packing.Encoder(str(path))
+    assert np.frombuffer(encode("Some Text here"), "<u4").tolist() == encode.tokenizer.encode("Some Text here", add_special_tokens=False).ids
