@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns
 from ..sources import snapshots
+from . import ordered
 
 
 class KeyIndex:
@@ -104,6 +105,13 @@ class KeyIndex:
         heads = self.df.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))).alias("prefix"))
         return heads.groupBy("prefix").agg(F.count(F.lit(1)).alias("keys")).withColumn("depth", F.length("prefix")).orderBy("depth", "prefix")
 
+    def visits(self) -> DataFrame:
+        """Trie nodes with their places, from 0, in a walk by depth and in one by breadth."""
+        nodes = self.prefix_counts().select("prefix", F.col("depth"))
+        deep = ordered.ranks(nodes, "prefix").withColumnRenamed("rank", "depth_first")
+        wide = ordered.ranks(deep.withColumn("__order", F.struct("depth", "prefix")), "__order")
+        return wide.drop("__order").withColumnRenamed("rank", "breadth_first")
+
     def paths(self, depth_first: bool = True) -> DataFrame:
         """Trie nodes in visiting order."""
         nodes = self.prefix_counts()

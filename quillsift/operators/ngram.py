@@ -84,10 +84,15 @@ class NGramIndex:
         return hits.where(F.col("n") == len(wanted)).select("value").where(wildcard.is_match(F.col("value")))
 
     def search_all(self, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
-        """(pattern, value) of a table of substrings to find anywhere: postings meet one gram of each, then LIKE decides."""
+        """(pattern, value) of a table of substrings to find anywhere: postings meet the rarest gram of each, then LIKE decides."""
         probes = patterns.select(F.col(pattern).alias("pattern")).distinct()
         long_enough = F.length("pattern") >= self.low
-        probe = probes.where(long_enough).withColumn("gram", F.substring(F.col("pattern"), F.lit(1), F.least(F.length("pattern"), F.lit(self.high))))
+        size = F.least(F.length("pattern"), F.lit(self.high))
+        grams = F.transform(F.sequence(F.lit(1), F.length("pattern") - size + 1), lambda i: F.substring(F.col("pattern"), i, size))
+        grams = probes.where(long_enough).select("pattern", F.explode(F.array_distinct(grams)).alias("gram"))
+        often = self.postings.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
+        rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram"))["gram"]
+        probe = grams.join(often, "gram", "left").groupBy("pattern").agg(rarest.alias("gram"))
         like = F.concat(F.lit("%"), F.regexp_replace("pattern", "([%_!])", "!$1"), F.lit("%"))
         hits = probe.join(self.postings.select("gram", "value").distinct(), "gram").where(F.like("value", like, F.lit(_ESCAPE))).select("pattern", "value")
         short = probes.where(~long_enough & (F.length("pattern") > 0))

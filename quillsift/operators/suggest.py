@@ -53,25 +53,32 @@ class Suggestor:
         return probes.join(self.items().withColumnRenamed("value", "__value"), F.col(column) == F.col("__value"), "left_semi")
 
     def candidates(self, queries: DataFrame, column: str, distance: int) -> DataFrame:
-        """Distinct (query, value) that share a variant and whose lengths allow the distance."""
+        """Distinct (query, value, edits) that share a variant, and whose lengths, edits without swaps and letters allow the distance.
+
+        A swap is two edits at most, and leaves the letters as they are.
+        """
         probes = queries.select(F.col(column).alias("query")).distinct().select("query", F.explode(deletions(F.col("query"), distance)).alias("variant"))
         joined = probes.join(self.postings, "variant").where(F.abs(F.length("query") - F.length("value")) <= distance)
-        return joined.select("query", "value").distinct()
+        found = joined.select("query", "value", F.levenshtein("query", "value", 2 * distance).alias("edits")).where("edits >= 0")
+        letters = [F.split(c, "") for c in ("query", "value")]
+        others = [F.size(F.array_except(a, b)) for a, b in (letters, letters[::-1])]
+        return found.where((F.col("edits") <= distance) | (F.greatest(*others) <= 2 * distance - F.col("edits"))).distinct()
 
     def lookup(self, queries: DataFrame, column: str = "query", distance: int = -1, verbosity: str = ALL) -> DataFrame:
         """query, value, distance, similarity.
 
-        At distance 1 candidates are verified on the JVM side; beyond it in Arrow batches.
+        Pairs within two edits are decided on the JVM side, others in Arrow batches.
         """
         distance = self.distance if distance < 0 else distance
         if distance > self.distance:
             raise ValueError("the index has no deletions of that distance")
         pairs = self.candidates(queries, column, distance)
-        if distance <= 1:
-            steps = F.when(F.col("query") == F.col("value"), 0).when(fuzzy.one_edit_or_swap(F.col("query"), F.col("value")), 1).otherwise(2)
-        else:
-            steps = fuzzy_udf.osa(F.col("query"), F.col("value"), distance + 1).cast("int")
-        found = pairs.withColumn("distance", steps).where(F.col("distance") <= distance)
+        near = F.when(F.col("edits") <= 1, F.col("edits")).when(fuzzy.one_edit_or_swap(F.col("query"), F.col("value")), 1).otherwise(2)
+        steps = near
+        if distance > 1:
+            far = F.col("edits") > 2
+            steps = F.when(far, fuzzy_udf.osa(F.when(far, F.col("query")), F.when(far, F.col("value")), distance + 1).cast("int")).otherwise(near)
+        found = pairs.withColumn("distance", steps).drop("edits").where(F.col("distance") <= distance)
         if verbosity in (TOP, CLOSEST):
             best = F.min("distance").over(Window.partitionBy("query"))
             found = found.withColumn("__best", best)
