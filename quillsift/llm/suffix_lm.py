@@ -6,14 +6,17 @@ end of a text, and all other words fall into classes by a digest of their first
 that of the token within its class, which has the same counts and the same 0.1 for unseen words as the word-frequency
 base. So the score exceeds the base by what the context says about the next class.
 
-Growth: contexts of depth d are counted only if they make up ``LEAST_SHARE`` of all positions, which bounds each level
-by 1 / LEAST_SHARE contexts whatever the input; which ones do is known from the level above. A context is retained if its
-next-symbol distribution diverges from its suffix's by more than it costs (count times Kullback-Leibler divergence,
-against ``COST`` for each of its symbols), and its suffixes are retained with it. Distributions are
-smoothed by those of the longest retained suffix, in the proportion of Witten and Bell.
-
-All training texts are counted. Word counts, which grow with the corpus, stay distributed: the most frequent
-words, ``COMMON`` at most, are broadcast, all others are joined by a shuffle.
+Growth: every context of every training position is counted, up to ``DEPTH`` classes, however rare it is. One of depth 2 or
+more is retained if its next-symbol distribution diverges from its suffix's by more than it costs (count times
+Kullback-Leibler divergence, against ``COST`` for each of its symbols), and its suffixes are retained with it; those of
+depth 1, CLASSES at most, always are. Distributions are smoothed by those of the longest retained suffix, in the
+proportion of Witten and Bell.
+
+All training texts are counted, and both the tree and the word counts, which grow with the corpus, stay distributed. The
+tree is dealt by the two nearest classes of its contexts: each part has whole subtrees, and above them only the first
+level, which the alphabet bounds and which is broadcast. Documents travel in chunks; a chunk asks each part for the
+probabilities of its distinct (context, symbol), whose counts it brings along, and adds up the answers. Of the words, the
+most frequent ones, ``COMMON`` at most, are broadcast, all others are joined by a shuffle.
 
 Defined results: a null text counts as empty and is its end alone; documents are scored as rows, so repeated rows and
 null ids are kept; without training rows all classes are equally likely; an empty table gives no rows.
@@ -21,6 +24,7 @@ null ids are kept; without training rows all classes are equally likely; an empt
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,11 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ASCII_LOWER, crc_mod, materialize, table
+from .shared import ASCII_LOWER, crc_mod, discard, materialize, table
 
 DEPTH = 3
-LEAST_SHARE = 1e-4
-LEAST_COUNT = 4
 #: Nats that each seen symbol of a retained context costs (Akaike's measure).
 COST = 1.0
 #: Words whose counts are broadcast, and distinct words that a worker holds.
@@ -45,8 +47,8 @@ COMMON, HELD = 50_000, 150_000
 BITS = 9
 CLASSES, SINGLES = 1 << BITS, 254
 END, START = 0, 1
-#: Symbols that are counted in one go.
-CHUNK = 1 << 21
+#: Symbols of a chunk of documents, and positions of a part of the tree, of which there are as many as that takes.
+CHUNK, PART = 1 << 20, 1 << 19
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -96,25 +98,6 @@ def _class_totals(classes: Classes):
     return run
 
 
-def _sequences(classes: Classes):
-    """Each text as the numbers of its classes, from its start to its end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            out = []
-            for text in batch.column(0):
-                words = tokens_of(text.as_py())
-                for w in set(words).difference(known):
-                    known[w] = classes(w)
-                out.append(np.array([START, *map(known.__getitem__, words), END], dtype="<u2").tobytes())
-                if len(known) > HELD:
-                    known = {}
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["classes"])
-
-    return run
-
-
 def _contexts(symbols: np.ndarray, depth: int):
     """For each depth from 1 on: packed contexts of all symbols, the nearest class lowest, and whether they are valid."""
     wide = symbols.astype(np.int64)
@@ -130,31 +113,34 @@ def _contexts(symbols: np.ndarray, depth: int):
         yield d, context, valid
 
 
-def _count_contexts(depth: int, frequent: np.ndarray | None):
-    """Counts of context << BITS | next symbol, for ``frequent`` contexts of this depth."""
+def _packed(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """The longest context of each symbol, up to ``depth`` classes, the nearest class lowest; zeros (no context has an END) fill it."""
+    packed = np.zeros(len(symbols), dtype=np.int64)
+    for _, context, valid in _contexts(symbols, depth):
+        packed = np.where(valid, context, packed)
+    return packed
 
-    def count(parts):
-        symbols = np.frombuffer(b"".join(parts), dtype="<u2")
-        for _, context, valid in _contexts(symbols, depth):
-            pass
-        if frequent is not None:
-            valid = valid & _found(frequent, context)[1]
-        keys, totals = np.unique(context[valid] << BITS | symbols[valid], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(totals.astype(np.int64))], names=["key", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                parts.append(text.as_py())
-                size += len(parts[-1]) // 2
-                if size >= CHUNK:
-                    yield count(parts)
-                    parts, size = [], 0
-        if parts:
-            yield count(parts)
+def _keys(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """context << BITS | symbol of each predicted symbol of a chunk, and how many each of its documents has."""
+    symbols = np.frombuffer(data, dtype="<u2")
+    predicted = symbols != START
+    lengths = np.diff(np.append(np.flatnonzero(~predicted), len(symbols))) - 1
+    return (_packed(symbols, depth) << BITS | symbols)[predicted], lengths
 
-    return run
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _to_planes(values: np.ndarray) -> bytes:
+    """Eight-byte values, byte by byte, so that the shuffle compresses those bytes that are alike."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def _found(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,12 +165,15 @@ class SuffixTree:
 
     def states(self, symbols: np.ndarray) -> np.ndarray:
         """The longest retained suffix before each symbol."""
-        state = np.zeros(len(symbols), dtype=np.int64)
-        for d, context, valid in _contexts(symbols, max(len(self.contexts), 1)):
-            if d <= len(self.contexts):
-                at, known = _found(self.contexts[d - 1], context)
-                known &= valid
-                state[known] = self.first[d - 1] + at[known]
+        return self.longest(_packed(symbols, max(len(self.contexts), 1)))
+
+    def longest(self, packed: np.ndarray) -> np.ndarray:
+        """The longest retained suffix of each packed context."""
+        state = np.zeros(len(packed), dtype=np.int64)
+        for d, (first, contexts) in enumerate(zip(self.first, self.contexts), 1):
+            at, known = _found(contexts, packed & (1 << BITS * d) - 1)
+            known &= (packed >> BITS * (d - 1)) & (CLASSES - 1) != 0
+            state[known] = first + at[known]
         return state
 
     def given(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -205,7 +194,10 @@ class SuffixTree:
 
 
 def grow(totals: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
-    """totals: tokens of each class; levels: sorted keys (context << BITS | symbol) and counts of depth 1, 2, ..."""
+    """totals: tokens of each class; levels: sorted keys (context << BITS | symbol) and counts of depth 1, 2, ...
+
+    From depth 2 on, levels may be those of some pairs of nearest classes only.
+    """
     kinds, n = np.count_nonzero(totals), totals.sum()
     symbols = CLASSES - 1  # all but the start, which is never predicted
     root = (totals + max(kinds, 1) / symbols) / (n + max(kinds, 1))
@@ -219,14 +211,14 @@ def grow(totals: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> Suf
             kept.append(np.zeros(0, bool))
             continue
         if d == 1:
-            expected = root[keys & CLASSES - 1]
-        else:
-            up_contexts, _, _, up_total = of_level[-2]
-            mask = (1 << BITS * (d - 1)) - 1
-            at, _ = _found(up_contexts, (keys >> BITS) & mask)
-            up_keys, up_counts = levels[d - 2]
-            pair, _ = _found(up_keys, ((keys >> BITS) & mask) << BITS | (keys & CLASSES - 1))
-            expected = up_counts[pair] / up_total[at]
+            kept.append(np.ones(len(contexts), bool))
+            continue
+        up_contexts, _, _, up_total = of_level[-2]
+        mask = (1 << BITS * (d - 1)) - 1
+        at, _ = _found(up_contexts, (keys >> BITS) & mask)
+        up_keys, up_counts = levels[d - 2]
+        pair, _ = _found(up_keys, ((keys >> BITS) & mask) << BITS | (keys & CLASSES - 1))
+        expected = up_counts[pair] / up_total[at]
         gain = np.add.reduceat(counts * np.log(counts / np.repeat(total, each) / expected), start)
         kept.append(gain > COST * each)
     for d in range(len(levels) - 1, 0, -1):  # a retained context keeps its suffixes
@@ -256,40 +248,170 @@ def grow(totals: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> Suf
     return tree
 
 
-def train_tree(texts: DataFrame, totals: np.ndarray, classes: Classes, depth: int = DEPTH, share: float = LEAST_SHARE) -> SuffixTree:
-    """``texts``: the training texts (text binary); totals: tokens of each class."""
-    sequences = materialize(texts.select("text").mapInArrow(_sequences(classes), "classes binary"), "classes")
-    least = max(LEAST_COUNT, share * totals.sum())
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    frequent = None
-    for d in range(1, depth + 1):
-        counted = sequences.mapInArrow(_count_contexts(d, frequent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        # at most CLASSES contexts in the first level and 1 / share in each other one, with at most CLASSES symbols each
-        found = counted.toArrow()
-        keys, counts = (found.column(i).to_numpy() for i in range(2))
-        order = np.argsort(keys)
-        levels.append((keys[order], counts[order]))
-        # how often (context, symbol) occurs is how often it is the context of depth d + 1
-        grown = keys[order][counts[order] >= least]
-        grown = grown[(grown & CLASSES - 1) != END]
-        head, tail = grown >> BITS, grown & CLASSES - 1
-        frequent = np.sort(head << BITS | tail)
-        if not len(frequent):
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class and the symbol after it: how often they are in training texts, and in all."""
+    learned, every = np.zeros(CLASSES << BITS, np.int64), np.zeros(CLASSES << BITS, np.int64)
+    for batch in batches:
+        for data, held in zip(batch.column(1), batch.column(2)):
+            keys, lengths = _keys(data.as_py(), 1)
+            taught = np.repeat(np.frombuffer(held.as_py(), np.uint8) == 0, lengths)
+            every += np.bincount(keys, minlength=len(every))
+            learned += np.bincount(keys[taught], minlength=len(learned))
+    seen = np.flatnonzero(every)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(learned[seen]), pa.array(every[seen])], names=["key", "n", "m"])
+
+
+def deal(positions: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each pair of nearest classes, by how many positions have it: the largest first, to the part with least."""
+    part = np.zeros(len(positions), np.int32)
+    load = [(0, p) for p in range(parts)]
+    for at in np.argsort(-positions, kind="stable"):
+        if not positions[at]:
             break
-    return grow(totals, levels)
+        least, p = load[0]
+        part[at] = p
+        heapq.heapreplace(load, (least + int(positions[at]), p))
+    return part
+
+
+def _dealt(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by their parts, and the parts in that order."""
+    of = part[(keys >> BITS) & len(part) - 1]
+    order = np.argsort(of, kind="stable")
+    return order, of[order]
+
 
+def _ask(part: np.ndarray, depth: int):
+    """The distinct keys of each chunk with their counts in its training texts, to the parts of the tree."""
 
-_SCORED = T.StructType(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, held in zip(batch.column(0), batch.column(1), batch.column(2)):
+                keys, lengths = _keys(data.as_py(), depth)
+                marked = np.sort(keys << 1 | np.repeat(np.frombuffer(held.as_py(), np.uint8) == 0, lengths))
+                start = _runs(marked >> 1)
+                keys, counts = marked[start] >> 1, np.add.reduceat(marked & 1, start)
+                order, of = _dealt(keys, part)
+                keys, counts, start = keys[order], counts[order], _runs(of)
+                asked = [(_to_planes(np.diff(k, prepend=0)), _to_planes(c)) for k, c in zip(np.split(keys, start[1:]), np.split(counts, start[1:]))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(of[start]), pa.array([row.as_py()] * len(start), pa.int64()), pa.array([k for k, _ in asked], pa.binary()), pa.array([c for _, c in asked], pa.binary())], names=["part", "row", "keys", "counts"]
+                )
+
+    return run
+
+
+def _answer(totals: np.ndarray, first: tuple[np.ndarray, np.ndarray], depth: int):
+    """Grows a part of the tree and gives log10 probabilities for the keys of each chunk, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, keys, counts = [], [], []
+        for batch in batches:
+            for part, row, k, c in zip(*(batch.column(i) for i in range(4))):
+                asked.append((row.as_py(), part.as_py()))
+                keys.append(np.cumsum(_of_planes(k.as_py(), np.int64)))
+                counts.append(_of_planes(c.as_py(), np.int64))
+        if not asked:
+            return
+        sizes = [len(k) for k in keys]
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        start = _runs(keys)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys))))
+        keys, counts = keys[start], np.add.reduceat(counts[order], start)
+        values = grow(totals, [first, *_levels(keys[counts > 0], counts[counts > 0], depth)])
+        values = values.given(values.longest(keys >> BITS), keys & CLASSES - 1)
+        for (row, part), at in zip(asked, np.split(which, np.cumsum(sizes)[:-1])):
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([part], pa.int32()), pa.array([_to_planes(values[at])], pa.binary())], names=["row", "part", "data"])
+
+    return run
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of depth 2, 3, ... from those of the longest contexts."""
+    levels = []
+    for d in range(2, depth + 1):
+        deep = (keys >> BITS * d) & (CLASSES - 1) != 0
+        short = keys[deep] & (1 << BITS * (d + 1)) - 1
+        order = np.argsort(short, kind="stable")
+        short = short[order]
+        start = _runs(short)
+        levels.append((short[start], np.add.reduceat(counts[deep][order], start) if len(start) else np.zeros(0, np.int64)))
+    return levels
+
+
+def _add_up(part: np.ndarray, depth: int):
+    """The sum of the log10 probabilities of each document, from chunks and, behind each, the answers of its parts."""
+
+    def sums(row, data, answers):
+        keys, lengths = _keys(data, depth)
+        order = np.argsort(keys, kind="stable")
+        start = _runs(keys[order])
+        by_part, _ = _dealt(keys[order][start], part)
+        values = np.empty(len(start))
+        values[by_part] = np.concatenate(answers)
+        each = np.empty(len(keys))
+        each[order] = np.repeat(values, np.diff(np.append(start, len(keys))))
+        found = np.add.reduceat(each, np.cumsum(lengths) - lengths)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(found))), pa.array(found)], names=["row", "tree"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, answers = None, []
+        for batch in batches:
+            for row, part, data in zip(*(batch.column(i) for i in range(3))):
+                if part.as_py() < 0:
+                    if chunk:
+                        yield sums(*chunk, answers)
+                    chunk, answers = (row.as_py(), data.as_py()), []
+                else:
+                    answers.append(_of_planes(data.as_py(), np.float64))
+        if chunk:
+            yield sums(*chunk, answers)
+
+    return run
+
+
+def tree_scores(chunks: DataFrame, totals: np.ndarray, depth: int = DEPTH) -> DataFrame:
+    """The log10 probability of each document's classes (row, tree), by a tree of all training texts.
+
+    ``chunks``: row (of the first document), symbols (of all documents), held (a byte each); totals: tokens of each class.
+    """
+    chunks = chunks.select("row", "symbols", "held")
+    found = chunks.mapInArrow(_pairs, "key long, n long, m long").groupBy("key").agg(F.sum("n"), F.sum("m")).toArrow()
+    keys, learned, every = (found.column(i).to_numpy() for i in range(3))
+    order = np.argsort(keys)
+    order = order[learned[order] > 0]
+    first = (keys[order], learned[order])
+    # the pair (a, b) of a text is the pair of nearest classes of what comes next; where b is the first class, a is not there
+    positions = np.zeros(CLASSES << BITS, np.int64)
+    positions[keys] = np.where(keys & CLASSES - 1 == END, 0, every)
+    positions[START] = every[keys >> BITS == START].sum()
+    parts = max(1, -(-int(every.sum()) // PART))
+    part = deal(positions, parts)
+    asked = chunks.mapInArrow(_ask(part, depth), "part int, row long, keys binary, counts binary")
+    answers = asked.repartitionById(parts, "part").mapInArrow(_answer(totals, first, depth), "row long, part int, data binary")
+    both = chunks.select("row", F.lit(-1).alias("part"), F.col("symbols").alias("data")).unionByName(answers)
+    together = both.repartition(parts, "row").sortWithinPartitions("row", "part")
+    return materialize(together.mapInArrow(_add_up(part, depth), "row long, tree double"), "tree")
+
+
+_ENCODED = T.StructType(
     [
         T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType())),
+        T.StructField("symbols", T.BinaryType()), T.StructField("held", T.BinaryType()),
     ]
 )
+_ARROW = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
 
-def _score(tree: SuffixTree, classes: Classes, common: dict[bytes, int], within: np.ndarray, all_tokens: float, texts: int):
-    """Scores documents; words that are not ``common`` leave with the document, to be joined with their counts.
+def _encode(classes: Classes, common: dict[bytes, int], within: np.ndarray, all_tokens: float, texts: int, size: int):
+    """Documents with their scores but for the tree's, and rows of their own (those with symbols) for chunks of documents.
 
+    Words that are not ``common`` leave with the document, to be joined with their counts. A chunk has the number of its
+    first document, the classes of all, each from its start to its end, and whether each is held out.
     within: log10 of the denominator of each class.
     """
     log_all, of_end = float(np.log10(all_tokens)), float(np.log10(texts + 0.1))
@@ -300,6 +422,13 @@ def _score(tree: SuffixTree, classes: Classes, common: dict[bytes, int], within:
         row = TaskContext.get().partitionId() << 40
         place: dict[bytes, int] = {}
         kinds, counts = np.zeros(0, np.int64), np.zeros(0)
+        parts: list[np.ndarray] = []
+        held: list[bool] = []
+
+        def chunk():
+            values = [row - len(held), *[None] * 8, np.concatenate(parts).tobytes(), bytes(held)]
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, _ARROW)], names=_ENCODED.names)
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 rows = batch.slice(lo, 128)
@@ -312,7 +441,7 @@ def _score(tree: SuffixTree, classes: Classes, common: dict[bytes, int], within:
                 counts = np.concatenate([counts, np.array([np.log10(common[w] + 0.1) if w in common else np.nan for w in new])])
                 numbers = [np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts_of]
                 symbols = np.concatenate([x for at in numbers for x in ([START], kinds[at], [END])])
-                by_class = tree.given(tree.states(symbols), np.where(symbols == START, END, symbols)) - within[symbols]
+                by_class = -within[symbols]
                 by_class[symbols == START] = 0
                 sums = np.add.reduceat(by_class, np.flatnonzero(symbols == START))
                 out: list[list] = [[] for _ in range(7)]
@@ -325,9 +454,16 @@ def _score(tree: SuffixTree, classes: Classes, common: dict[bytes, int], within:
                     for column, value in zip(out, values):
                         column.append(value)
                     row += 1
-                kind = [pa.int64(), None, None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-                values = [out[0], rows.column(0), rows.column(1), *out[1:]]
-                yield pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(values, kind)], names=_SCORED.names)
+                none = [None] * len(numbers)
+                values = [out[0], rows.column(0), rows.column(1), *out[1:], none, none]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(values, _ARROW)], names=_ENCODED.names)
+                parts.append(symbols.astype("<u2"))
+                held += [h is not False for h in rows.column(1).to_pylist()]
+                if sum(map(len, parts)) >= size:
+                    yield chunk()
+                    parts, held = [], []
+        if parts:
+            yield chunk()
 
     return run
 
@@ -369,18 +505,24 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # a class of one word has room for no other; the shared classes have one place for all unseen words
     single = np.arange(CLASSES) < 2 + classes.fixed
     within = np.log10(tokens + 0.1 * np.where(single, 1, kinds + 1))
-    tree = train_tree(learned, tokens, classes)
-    scored = materialize(texts.mapInArrow(_score(tree, classes, dict(top), within, all_tokens, n_texts), _SCORED), "scored")
+    encoded = materialize(texts.mapInArrow(_encode(classes, dict(top), within, all_tokens, n_texts, CHUNK), _ENCODED), "encoded")
+    chunks = materialize(encoded.where("symbols is not null").select("row", "symbols", "held"), "chunks")
+    scored = encoded.where("symbols is null")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     counted = rare.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("numerators"),
     )
     more = F.coalesce("numerators", F.lit(0.0))
-    return scored.drop("words", "times").join(counted, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
+    by_words = scored.join(counted, "row", "left").select(
+        "row", "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )
+    by_words = materialize(by_words, "by_words")
+    discard(encoded, words)  # the tree needs the room
+    by_tree = tree_scores(chunks, tokens)
+    discard(chunks)
+    return by_words.join(by_tree, "row").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("score") + F.col("tree")).alias("score"))
 
 
 def query(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Language-model scores: the base against plain Python, the model as a distribution, and held-out gain."""
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -67,6 +67,63 @@ def test_longest_suffix():
     assert tree.states(symbols).tolist() == [0, 0, 0, 2, 0, 1, 0, 0, 0, 1]
 
 
+def plain_scores(rows):
+    """The scores by a dictionary of all contexts, and how many are retained at each depth."""
+    learned = [tokens(t) for _, h, t in rows if not h]
+    words = Counter(w for d in learned for w in d)
+    classes = lm.Classes([w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[: lm.SINGLES]])
+    after, within = defaultdict(Counter), Counter({lm.END: len(learned) + 0.1})
+    for text in learned:
+        seen = [lm.START, *map(classes, text), lm.END]
+        for i in range(1, len(seen)):
+            for d in range(min(i, lm.DEPTH) + 1):
+                after[tuple(seen[i - d : i])][seen[i]] += 1
+    for w, n in words.items():
+        within[classes(w)] += n if classes(w) < 2 + classes.fixed else n + 0.1
+    retained = {()}
+    for context, nexts in after.items():
+        up, total, up_total = after[context[1:]], nexts.total(), after[context[1:]].total()
+        if len(context) == 1 or context and sum(n * math.log(n / total / (up[s] / up_total)) for s, n in nexts.items()) > lm.COST * len(nexts):
+            retained |= {context[i:] for i in range(len(context))}
+
+    def given(context, symbol):
+        nexts = after[context]
+        if not context:
+            kinds = max(len(nexts), 1)
+            return (nexts[symbol] + kinds / (lm.CLASSES - 1)) / (nexts.total() + kinds)
+        return (nexts[symbol] + len(nexts) * given(context[1:], symbol)) / (nexts.total() + len(nexts))
+
+    out = {}
+    for i, _, t in rows:
+        text = tokens(t)
+        seen = [lm.START, *map(classes, text), lm.END]
+        out[i] = sum(math.log10((words[w] + 0.1) / (within[classes(w)] + 0.1)) for w in text)
+        for k in range(1, len(seen)):
+            context = next(c for d in range(min(k, lm.DEPTH), -1, -1) if (c := tuple(seen[k - d : k])) in retained)
+            out[i] += math.log10(given(context, seen[k]))
+    return out, [sum(len(c) == d for c in retained) for d in range(lm.DEPTH + 1)]
+
+
+@pytest.mark.parametrize("chunk, part", [(lm.CHUNK, lm.PART), (400, 1000)])
+def test_scores_by_all_contexts(spark, monkeypatch, chunk, part):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "PART", part)
+    chance = np.random.default_rng(5)
+    rows = [(i, i % 5 == 0, " ".join(f"{int(x) * 7919 % 1000}w{int(x)}" for x in chance.zipf(1.3, int(chance.integers(0, 90))) if x < 2000)) for i in range(300)]
+    passage = "Far fewer than one in ten thousand positions have these contexts and they count"
+    rows += [(500, False, None), (501, True, ""), (502, False, passage), (503, False, f"and {passage}"), (504, True, f"but {passage}"), (505, True, "unseen"), (506, False, "long " * 3000)]
+    want, retained = plain_scores(rows)
+    found = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert retained[2] > 100 and retained[3] > 100
+    assert found == pytest.approx(want, abs=1e-6)
+
+
+def test_dealt_parts():
+    positions = np.random.default_rng(1).zipf(1.5, lm.CLASSES << lm.BITS).clip(max=10_000)
+    load = np.bincount(lm.deal(positions, 7), positions, minlength=7)
+    assert load.max() - load.min() <= positions.max() and load.sum() == positions.sum()
+
+
 @pytest.mark.parametrize("rows", [[], [(1, True, "a b")], [(1, True, None), (2, True, "x")]])
 def test_nothing_learned(spark, rows):
     found = lm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()
