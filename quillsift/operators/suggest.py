@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, fuzzy_udf
+from . import nearby
 
 ALL, TOP, CLOSEST = "all", "top", "closest"
 
@@ -31,23 +32,27 @@ def deletions(word: Column, distance: int) -> Column:
 
 @dataclass
 class Suggestor:
-    postings: DataFrame  # variant, value
+    words: DataFrame  # value, distinct
     distance: int = 2
 
     @classmethod
     def build(cls, df: DataFrame, column: str, distance: int = 2) -> Suggestor:
-        words = df.select(F.col(column).alias("value")).where("value is not null and value <> ''").distinct()
-        return cls(words.select(F.explode(deletions(F.col("value"), distance)).alias("variant"), "value"), distance)
+        return cls(df.select(F.col(column).alias("value")).where("value is not null and value <> ''").distinct(), distance)
+
+    @property
+    def postings(self) -> DataFrame:
+        """variant, value."""
+        return self.words.select(F.explode(deletions(F.col("value"), self.distance)).alias("variant"), "value")
 
     def items(self) -> DataFrame:
-        return self.postings.where(F.length("variant") == F.length("value")).select("value")
+        return self.words
 
     def add(self, df: DataFrame, column: str = "value") -> Suggestor:
-        new = df.select(F.col(column).alias("value")).distinct().join(self.items(), "value", "left_anti")
-        return Suggestor(self.postings.unionByName(Suggestor.build(new, "value", self.distance).postings), self.distance)
+        new = Suggestor.build(df, column, self.distance).words.join(self.words, "value", "left_anti")
+        return Suggestor(self.words.unionByName(new), self.distance)
 
     def remove(self, df: DataFrame, column: str = "value") -> Suggestor:
-        return Suggestor(self.postings.join(df.select(F.col(column).alias("value")), "value", "left_anti"), self.distance)
+        return Suggestor(self.words.join(df.select(F.col(column).alias("value")), "value", "left_anti"), self.distance)
 
     def contains(self, probes: DataFrame, column: str = "value") -> DataFrame:
         return probes.join(self.items().withColumnRenamed("value", "__value"), F.col(column) == F.col("__value"), "left_semi")
@@ -67,18 +72,19 @@ class Suggestor:
     def lookup(self, queries: DataFrame, column: str = "query", distance: int = -1, verbosity: str = ALL) -> DataFrame:
         """query, value, distance, similarity.
 
-        Pairs within two edits are decided on the JVM side, others in Arrow batches.
+        Pairs within two edits are found and told apart where variants meet; farther ones are candidates, decided one by one.
         """
         distance = self.distance if distance < 0 else distance
         if distance > self.distance:
             raise ValueError("the index has no deletions of that distance")
-        pairs = self.candidates(queries, column, distance)
-        near = F.when(F.col("edits") <= 1, F.col("edits")).when(fuzzy.one_edit_or_swap(F.col("query"), F.col("value")), 1).otherwise(2)
-        steps = near
-        if distance > 1:
+        if distance <= nearby.MOST:
+            found = nearby.pairs(Suggestor.build(queries, column).words, self.words, distance)
+        else:
+            pairs = self.candidates(queries, column, distance)
+            near = F.when(F.col("edits") <= 1, F.col("edits")).when(fuzzy.one_edit_or_swap(F.col("query"), F.col("value")), 1).otherwise(2)
             far = F.col("edits") > 2
             steps = F.when(far, fuzzy_udf.osa(F.when(far, F.col("query")), F.when(far, F.col("value")), distance + 1).cast("int")).otherwise(near)
-        found = pairs.withColumn("distance", steps).drop("edits").where(F.col("distance") <= distance)
+            found = pairs.withColumn("distance", steps).drop("edits").where(F.col("distance") <= distance)
         if verbosity in (TOP, CLOSEST):
             best = F.min("distance").over(Window.partitionBy("query"))
             found = found.withColumn("__best", best)
