@@ -1,7 +1,8 @@
 """Spelling and license-plate suggestions through an index of deletions.
 
 A word's variants are what is left after up to ``distance`` deletions, never the empty string. Two words within the
-distance share a variant, so a batch of queries is an equi-join on variants, and candidates are verified afterwards.
+distance share a variant, so queries and words meet at variants: within two edits in ``nearby``, else in an equi-join whose
+candidates are verified afterwards.
 """
 
 from __future__ import annotations
